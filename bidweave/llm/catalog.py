@@ -7,23 +7,113 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import byte_bpe, token_counts
+from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, secret_scan, token_counts
 from bidweave.llm.common import read
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
+#: A conversation that every result of op6 holds beside those of the table.
+EXTRA_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text")
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat_format.format_conversations(turns)
+    back = made.select("*", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["ord"] == secret_scan.KINDS.index(kind))).cast("bigint")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.written(F.array_sort(F.concat("base", "entropy"))).alias("spans"),
+    )
+
+
+OP5_SQL = r"""
+WITH norm AS (
+  SELECT 0 AS kind, doc_id AS id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) FROM benchmark
+), toks AS (SELECT kind, id, string_split(t, ' ') AS w FROM norm WHERE t <> ''),
+items AS (SELECT id, w, least(len(w), 5) AS k FROM toks WHERE kind = 1),
+grams AS (SELECT DISTINCT id AS item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+total AS (SELECT item_id, count(*) AS q FROM grams GROUP BY item_id),
+sizes AS (SELECT DISTINCT k FROM grams),
+found AS (
+  SELECT DISTINCT id AS doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM toks, sizes WHERE kind = 0 AND len(w) >= k)
+)
+SELECT doc_id, item_id, CAST(any_value(q) AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_found, count(*) / any_value(q) AS containment
+FROM found JOIN grams USING (k, g) JOIN total USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) / any_value(q) >= 0.8
+"""
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), made AS (
+  SELECT *, replace(replace(role, '\', '\s'), '|', '\p') AS r, replace(replace(text, '\', '\s'), '|', '\p') AS t FROM turns
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(t) + 18) AS BIGINT) AS formatted_chars
+FROM made GROUP BY conv_id
+"""
+
+OP7_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, CAST(count(*) OVER same AS BIGINT) AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def queries() -> dict[str, QueryFunction]:
-    return {f.__name__: f for f in (op3_token_counts, op9_byte_bpe)}
+    found = (op1_language_id, op3_token_counts, op5_decontaminate, op6_chat_format, op7_exact_dedup, op9_byte_bpe, op10_secret_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL}

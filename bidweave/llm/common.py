@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +15,26 @@ from pyspark.sql import functions as F
 STEP_CHARS = 1 << 20
 
 
+PACKAGE = Path(__file__).resolve().parents[1]
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their Python path has it already."""
+    context = spark.sparkContext
+    roots = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if str(PACKAGE.parent) in roots or getattr(context, "_bidweave_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(PACKAGE.rglob("*.py")):
+            z.write(path, path.relative_to(PACKAGE.parent))
+    context.addPyFile(str(target))
+    context._bidweave_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder. Only Spark opens the path, so any store that Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
