@@ -203,7 +203,7 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _with_ids(path: str | None, keep_ids: bool):
+def _with_ids(path: str | None, keep_ids: bool, keep_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path or default_ranks())
         for batch in batches:
@@ -216,31 +216,35 @@ def _with_ids(path: str | None, keep_ids: bool):
                     digests.append(hashlib.sha256(raw).hexdigest())
                     decoded.append(hashlib.sha256(back).hexdigest())
                     if keep_ids:
-                        ids.append(np.frombuffer(raw, "<u4").astype(np.int64))
-                        offsets.append(starts.astype(np.int64))
+                        ids.append(np.frombuffer(raw, "<i4"))
+                    if keep_offsets:
+                        offsets.append(starts.astype(np.int32))
             columns = [keys, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["_key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns += [pa.array(ids, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64()))]
-                names += ["ids", "offsets"]
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_offsets:
+                columns.append(pa.array(offsets, pa.list_(pa.int32())))
+                names.append("offsets")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, keep_ids: bool = False, keep_offsets: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns the id column, n_tokens, ids_sha256 and decoded_sha256; with ``keep_ids`` also
-    ``ids`` and ``offsets`` (start of each pre-token, in code points, for decoding by place).
+    ``ids``, with ``keep_offsets`` also ``offsets`` (start of each pre-token, in code points).
     Null counts as the empty text, which has no tokens. Repeated rows each give a row, an
     empty table gives none, other columns are left out, and long texts are taken whole.
     ``ranks_path`` is a path on the executors; by default the installed public vocabulary.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, offsets array<bigint>" * keep_ids
+    schema = f"_key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", offsets array<int>" * keep_offsets
     taken = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
-    return taken.mapInArrow(_with_ids(ranks_path, keep_ids), schema).withColumnRenamed("_key", id_col)
+    return taken.mapInArrow(_with_ids(ranks_path, keep_ids, keep_offsets), schema).withColumnRenamed("_key", id_col)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ranks_path: str | None = None) -> DataFrame:

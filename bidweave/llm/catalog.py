@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, secret_scan, token_counts
+from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, ngram_join, secret_scan, token_counts
 from bidweave.llm.common import read
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
@@ -111,7 +115,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, QueryFunction]:
-    found = (op1_language_id, op3_token_counts, op5_decontaminate, op6_chat_format, op7_exact_dedup, op9_byte_bpe, op10_secret_scan)
+    found = (op1_language_id, op2_ngram_join, op3_token_counts, op5_decontaminate, op6_chat_format, op7_exact_dedup, op9_byte_bpe, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 

@@ -82,3 +82,13 @@ def words(text: Column) -> Column:
     """Lower-case words of a text, in order; none for null. JVM expressions only."""
     trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
+
+
+#: Ids are broadcast only if they were counted to be no more than this (8 bytes each).
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``ids`` (one column). Rows with a null id stay."""
+    out = cut_lineage(ids.toDF("_gone").where("_gone is not null").distinct())
+    return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -35,3 +35,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return slim.join(groups, ["_h", "text_sha256"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which one stays for each text: that with the smallest (or largest) id.
+
+    Null counts as the empty text and stays null only if the kept row has it so. Rows that
+    repeat an id and text are one; further columns decide then, in their order. A null id is the smallest."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("_row"), text_or_empty(text_col).alias("_text"))
+    best = rows.groupBy(F.md5("_text").alias("_h"), "_text").agg((F.min if keep == "smallest" else F.max)("_row").alias("_row"))
+    columns = {id_col: F.col("_row.id"), text_col: F.when(~F.col("_row.none"), F.col("_text"))} | {c: F.col(f"_row.c{i}") for i, c in enumerate(rest)}
+    return best.select(*[columns[c].alias(c) for c in docs.columns])
