@@ -83,6 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     hit = texts.join(_maybe_broadcast(wanted, wanted.count()), texts["doc"].eqNullSafe(wanted["doc"]), "left_semi")
     both = hit.join(_maybe_broadcast(pairs, pairs.count()).withColumnRenamed("doc", "doc2"), F.col("doc").eqNullSafe(F.col("doc2"))).drop("doc2")
     both = both.join(_maybe_broadcast(parts.select("item", "k", "grams"), parts.count()), "item")
-    checked = both.select("doc", "item", F.size("grams").alias("q"), F.size(F.array_intersect("grams", _grams(words(F.col("text")), F.col("k")))).alias("n"))
+    # The words are a column of their own, so that they aren't split again for each shingle.
+    split = both.select("doc", "item", "k", "grams", words(F.col("text")).alias("w"))
+    checked = split.select("doc", "item", F.size("grams").alias("q"), F.size(F.array_intersect("grams", _grams(F.col("w"), F.col("k")))).alias("n"))
     best = checked.groupBy("doc", "item").agg(F.max(F.struct((F.col("n") / F.col("q")).alias("c"), "n", "q")).alias("b"))
     return best.where(F.col("b.c") >= threshold - 1e-12).select(F.col("doc").alias(id_col), F.col("item").alias(item_id_col if item_id_col != id_col else "item_id"), F.col("b.q").cast("bigint").alias("n_shingles"), F.col("b.n").cast("bigint").alias("n_found"), F.col("b.c").alias("containment"))
