@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, ngram_join, secret_scan, token_counts
+from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, token_counts
 from bidweave.llm.common import read
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_text(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read(spark, sf_dir, "documents"))
 
@@ -115,7 +120,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, QueryFunction]:
-    found = (op1_language_id, op2_ngram_join, op3_token_counts, op5_decontaminate, op6_chat_format, op7_exact_dedup, op9_byte_bpe, op10_secret_scan)
+    found = (op1_language_id, op2_ngram_join, op3_token_counts, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 

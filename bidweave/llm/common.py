@@ -74,6 +74,11 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def loose_string(col: str) -> Column:
+    """The same string, without Spark knowing how it is dealt out, so that a join moves both sides."""
+    return F.concat(F.col(col), F.lit(""))
+
+
 #: Anything but letters and digits separates words.
 WORD_GAP = r"[^\p{L}\p{N}]+"
 
