@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, token_counts
+from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts
 from bidweave.llm.common import read
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -120,7 +124,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, QueryFunction]:
-    found = (op1_language_id, op2_ngram_join, op3_token_counts, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan)
+    found = (op1_language_id, op2_ngram_join, op3_token_counts, op4_substring_dedup, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
