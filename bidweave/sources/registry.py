@@ -30,17 +30,59 @@ def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
 
 #: States by code with region and OSHA plan.
 STATES = [
-    ("AL", "Alabama", "South"), ("AK", "Alaska", "West"), ("AZ", "Arizona", "West"), ("AR", "Arkansas", "South"), ("CA", "California", "West"), ("CO", "Colorado", "West"),
-    ("CT", "Connecticut", "Northeast"), ("DE", "Delaware", "South"), ("FL", "Florida", "South"), ("GA", "Georgia", "South"), ("HI", "Hawaii", "West"), ("ID", "Idaho", "West"),
-    ("IL", "Illinois", "Midwest"), ("IN", "Indiana", "Midwest"), ("IA", "Iowa", "Midwest"), ("KS", "Kansas", "Midwest"), ("KY", "Kentucky", "South"), ("LA", "Louisiana", "South"),
-    ("ME", "Maine", "Northeast"), ("MD", "Maryland", "South"), ("MA", "Massachusetts", "Northeast"), ("MI", "Michigan", "Midwest"), ("MN", "Minnesota", "Midwest"), ("MS", "Mississippi", "South"),
-    ("MO", "Missouri", "Midwest"), ("MT", "Montana", "West"), ("NE", "Nebraska", "Midwest"), ("NV", "Nevada", "West"), ("NH", "New Hampshire", "Northeast"), ("NJ", "New Jersey", "Northeast"),
-    ("NM", "New Mexico", "West"), ("NY", "New York", "Northeast"), ("NC", "North Carolina", "South"), ("ND", "North Dakota", "Midwest"), ("OH", "Ohio", "Midwest"), ("OK", "Oklahoma", "South"),
-    ("OR", "Oregon", "West"), ("PA", "Pennsylvania", "Northeast"), ("RI", "Rhode Island", "Northeast"), ("SC", "South Carolina", "South"), ("SD", "South Dakota", "Midwest"), ("TN", "Tennessee", "South"),
-    ("TX", "Texas", "South"), ("UT", "Utah", "West"), ("VT", "Vermont", "Northeast"), ("VA", "Virginia", "South"), ("WA", "Washington", "West"), ("WV", "West Virginia", "South"),
-    ("WI", "Wisconsin", "Midwest"), ("WY", "Wyoming", "West"), ("DC", "District of Columbia", "South"),
+    ("AL", "Alabama", "Southeast", "federal"),
+    ("AK", "Alaska", "West", "full"),
+    ("AZ", "Arizona", "Southwest", "full"),
+    ("AR", "Arkansas", "South", "federal"),
+    ("CA", "California", "West", "full"),
+    ("CO", "Colorado", "Mountain", "federal"),
+    ("CT", "Connecticut", "Northeast", "public_only"),
+    ("DE", "Delaware", "Mid-Atlantic", "public_only"),
+    ("FL", "Florida", "Southeast", "federal"),
+    ("GA", "Georgia", "Southeast", "federal"),
+    ("HI", "Hawaii", "Pacific", "full"),
+    ("ID", "Idaho", "Mountain", "full"),
+    ("IL", "Illinois", "Midwest", "public_only"),
+    ("IN", "Indiana", "Midwest", "full"),
+    ("IA", "Iowa", "Midwest", "federal"),
+    ("KS", "Kansas", "Midwest", "federal"),
+    ("KY", "Kentucky", "South", "full"),
+    ("LA", "Louisiana", "South", "federal"),
+    ("ME", "Maine", "Northeast", "public_only"),
+    ("MD", "Maryland", "Mid-Atlantic", "full"),
+    ("MA", "Massachusetts", "Northeast", "federal"),
+    ("MI", "Michigan", "Midwest", "full"),
+    ("MN", "Minnesota", "Midwest", "full"),
+    ("MS", "Mississippi", "South", "federal"),
+    ("MO", "Missouri", "Midwest", "federal"),
+    ("MT", "Montana", "Mountain", "federal"),
+    ("NE", "Nebraska", "Midwest", "federal"),
+    ("NV", "Nevada", "West", "full"),
+    ("NH", "New Hampshire", "Northeast", "federal"),
+    ("NJ", "New Jersey", "Mid-Atlantic", "public_only"),
+    ("NM", "New Mexico", "Southwest", "full"),
+    ("NY", "New York", "Northeast", "public_only"),
+    ("NC", "North Carolina", "Southeast", "full"),
+    ("ND", "North Dakota", "Midwest", "federal"),
+    ("OH", "Ohio", "Midwest", "federal"),
+    ("OK", "Oklahoma", "South", "federal"),
+    ("OR", "Oregon", "West", "full"),
+    ("PA", "Pennsylvania", "Mid-Atlantic", "public_only"),
+    ("RI", "Rhode Island", "Northeast", "federal"),
+    ("SC", "South Carolina", "Southeast", "full"),
+    ("SD", "South Dakota", "Midwest", "federal"),
+    ("TN", "Tennessee", "Southeast", "full"),
+    ("TX", "Texas", "South", "federal"),
+    ("UT", "Utah", "Mountain", "full"),
+    ("VT", "Vermont", "Northeast", "full"),
+    ("VA", "Virginia", "Mid-Atlantic", "full"),
+    ("WA", "Washington", "West", "full"),
+    ("WV", "West Virginia", "Mid-Atlantic", "federal"),
+    ("WI", "Wisconsin", "Midwest", "federal"),
+    ("WY", "Wyoming", "Mountain", "full"),
+    ("DC", "Washington D.C.", "Mid-Atlantic", "federal"),
 ]
-STATE_CODES = [code for code, _, _ in STATES]
+STATE_CODES = [code for code, *_ in STATES]
 #: Countries that a location can be in.
 COUNTRIES = [
     "United States", "United Kingdom", "Germany", "France", "Australia", "Canada", "Japan", "Italy", "Spain", "Netherlands", "Belgium", "Sweden", "Norway", "Denmark", "Finland", "Poland", "Czech Republic",
@@ -51,7 +93,7 @@ COUNTRIES = [
 
 
 def states(spark: SparkSession) -> DataFrame:
-    return inline(spark, "state_code string, state_name string, region string", STATES)
+    return inline(spark, "state_code string, state_name string, region string, osha_state_plan string", STATES)
 
 
 def seeded(state: DataFrame, seed: DataFrame, key: str) -> DataFrame:
