@@ -12,9 +12,18 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+#: What counts as white space at the ends of a text.
+SPACES = " \t\n\r\f\v\u00a0\ufeff"
+
+
+def trimmed(value: Column | str) -> Column:
+    """Without white space at either end, line feeds and no-break spaces included."""
+    return F.btrim(as_col(value), F.lit(SPACES))
+
+
 def blank_to_null(value: Column | str) -> Column:
     """Trimmed text; blank becomes null."""
-    return F.nullif(F.trim(as_col(value)), F.lit(""))
+    return F.nullif(trimmed(as_col(value)), F.lit(""))
 
 
 def first_filled(*values: Column | str) -> Column:
@@ -85,17 +94,17 @@ def strip_markdown(text: Column | str) -> Column:
     out = as_col(text)
     for pattern, by in ((r"#+\s*", ""), (r"\*+", ""), (r"\n+", " "), (r"\s{2,}", " ")):
         out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    return trimmed(out)
 
 
 def strip_fences(text: Column | str) -> Column:
     """Model output without the Markdown fence around it."""
-    return F.trim(F.regexp_replace(as_col(text), r"```(?:json)?\s*|```", ""))
+    return trimmed(F.regexp_replace(as_col(text), r"```(?:json)?\s*|```", ""))
 
 
 def job_title(title: Column | str) -> Column:
     """A posting's title, cut at the first dash or bar, 150 characters at most."""
-    return F.substring(F.trim(F.regexp_replace(as_col(title), r"(?s)\s*[-|–].*$", "")), 1, 150)
+    return F.substring(trimmed(F.regexp_replace(as_col(title), r"(?s)\s*[-|–].*$", "")), 1, 150)
 
 
 def company_core(name: Column | str) -> Column:
@@ -103,7 +112,7 @@ def company_core(name: Column | str) -> Column:
     out = F.regexp_replace(as_col(name), r"\s*\(.*?\)\s*", " ")
     out = F.regexp_replace(out, r"[,.].*$", "")
     out = F.regexp_replace(out, r"(?i)\b(inc|corp|llc|ltd|co|lp|llp|incorporated|limited|company|the)\b\.?", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return trimmed(F.regexp_replace(out, r"\s+", " "))
 
 
 def html_text(html: Column | str) -> Column:
@@ -115,12 +124,12 @@ def html_text(html: Column | str) -> Column:
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return trimmed(F.regexp_replace(out, r"\s+", " "))
 
 
 def csv_list(text: Column | str) -> Column:
     """Upper-case elements of a comma-separated list, without blank ones."""
-    return F.filter(F.transform(F.split(as_col(text), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    return F.filter(F.transform(F.split(as_col(text), ","), lambda x: F.upper(trimmed(x))), lambda x: x != "")
 
 
 # --- display --------------------------------------------------------------------------------------
@@ -128,7 +137,7 @@ def csv_list(text: Column | str) -> Column:
 
 def initials(name: Column | str) -> Column:
     """Upper-case first letters of the first two words."""
-    parts = F.filter(F.split(F.trim(as_col(name)), r"\s+"), lambda w: w != "")
+    parts = F.filter(F.split(trimmed(as_col(name)), r"\s+"), lambda w: w != "")
     return F.upper(F.array_join(F.transform(F.slice(parts, 1, 2), lambda w: F.substring(w, 1, 1)), ""))
 
 
@@ -216,11 +225,8 @@ def date_of(text: Column) -> Column:
 
 def deadline(text: Column) -> Column:
     """The first pattern's date that parses and lies in 2024 to 2030."""
-    def one(pattern: str) -> Column:
-        d = date_of(group(text, pattern))
-        return F.when(F.year(d).between(2024, 2030), d)
-
-    return F.coalesce(*[one(p) for p in DEADLINE_PATTERNS])
+    found = F.array_compact(F.array(*[group(text, p) for p in DEADLINE_PATTERNS]))
+    return F.try_element_at(F.filter(F.transform(found, date_of), lambda d: F.year(d).between(2024, 2030)), F.lit(1))
 
 
 MONEY = r"(?i)\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(million|M\b|billion|B\b|thousand|K\b)?"
@@ -237,11 +243,8 @@ def estimated_value(text: Column) -> Column:
 
 
 def _agency(text: Column, patterns: list[str], stop: str, longest: int) -> Column:
-    def one(pattern: str) -> Column:
-        name = F.trim(F.regexp_extract(text, pattern, 1))
-        return F.when(F.length(name).between(3, longest) & ~name.rlike(stop), name)
-
-    return F.coalesce(*[one(p) for p in patterns])
+    names = F.array(*[trimmed(F.regexp_extract(text, p, 1)) for p in patterns])
+    return F.try_element_at(F.filter(names, lambda n: F.length(n).between(3, longest) & ~n.rlike(stop)), F.lit(1))
 
 
 def agency(text: Column) -> Column:
@@ -249,7 +252,7 @@ def agency(text: Column) -> Column:
 
 
 def title_agency(title: Column) -> Column:
-    return _agency(F.trim(F.regexp_replace(title, r"(?i)^\[(?:PDF|DOC)\]\s*", "")), TITLE_AGENCY_PATTERNS, TITLE_STOP, 40)
+    return _agency(trimmed(F.regexp_replace(title, r"(?i)^\[(?:PDF|DOC)\]\s*", "")), TITLE_AGENCY_PATTERNS, TITLE_STOP, 40)
 
 
 def millions(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from bidweave.plans.registry import Query
+from bidweave.plans import mutations, relational, rule_queries, search, source_queries, text_queries  # noqa: F401
+from bidweave.plans.registry import QUERIES
 
-QUERIES: dict[str, Query] = {}
+__all__ = ["QUERIES"]
