@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.bpe_core import SHIFT, merge
-from bidweave.llm.common import steps
+from bidweave.llm.common import sliced, steps
 
 # Classes of code points.
 SEP, LETTER, NUMBER, SPACE, WHITE, OTHER = range(6)
@@ -206,7 +206,7 @@ def default_ranks() -> str:
 def _with_ids(path: str | None, keep_ids: bool, keep_offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path or default_ranks())
-        for batch in batches:
+        for batch in sliced(batches):
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             counts, digests, decoded, ids, offsets = [], [], [], [], []
             for a, b in steps(texts):

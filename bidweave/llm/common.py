@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,13 @@ def steps(texts: list[str], budget: int = STEP_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (views, nothing is copied), so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder for checkpoints that driver and executors share; None where the cluster names none."""
     return spark.conf.get("spark.checkpoint.dir", None)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.byte_bpe import LETTER, classes
-from bidweave.llm.common import steps
+from bidweave.llm.common import sliced, steps
 
 #: Language codes by family. A code that is missing here is a family of its own.
 FAMILIES = {
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = rows.where(draw < share).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, values = [], []
             for text in batch.column(2).to_pylist():
                 hashed, _, _ = _trigrams([text])
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     picked = docs.select(F.col(id_col).alias("_key"), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             langs, scores = [], []
             for a, b in steps(texts):

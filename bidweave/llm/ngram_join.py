@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.llm.common import cut_lineage
+from bidweave.llm.common import cut_lineage, sliced
 from bidweave.llm.components import connected, loose
 
 #: Nodes of a chunk; a block compares one chunk with itself or with another.
@@ -50,7 +50,7 @@ class _Words(dict):
     """Hashes of words, kept up to a bound; emptying the store costs time only."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -110,7 +110,7 @@ def _signatures(n: int, bands: int, rows: int, with_set: bool):
     names = ["_id", "set_key", "bands"] + ["grams"] * with_set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
             start = 0

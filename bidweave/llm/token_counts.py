@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.bpe_core import SHIFT, merge
+from bidweave.llm.common import sliced
 
 #: How the vocabulary writes a blank.
 BLANK = "▁"
@@ -220,7 +221,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(model_path or default_model())
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             totals, fit = [], []
             for text in texts:
