@@ -1 +1,192 @@
-"""To come."""
+"""Sources, payloads, registries, and the pipelines composed of all the rest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bidweave.functions import rules, text
+from bidweave.functions.dates import moment
+from bidweave.operators import dedupe, filters, scoring
+from bidweave.plans.registry import Tables, any_sql, query
+from bidweave.plans.search import HOST_SQL
+from bidweave.sources import csv_import, envelopes, feeds, registry
+
+HEADERS = ["Title", " Organization", "Notice ID", "Posted Date", "Deadline", "NAICS", "URL"]
+
+
+@query("SRC04 SRC05 SRC06", """WITH x AS (SELECT c_custkey AS line, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_name || ', "big"' END AS title, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown Agency' ELSE c_mktsegment END AS agency, 'N' || c_custkey % 1000 AS notice, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-02-03' ELSE TIMESTAMP '2025-01-01' END AS posted, CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-05-06' END AS deadline FROM customer)
+SELECT min(line) AS line, arg_min(title, line) AS title, arg_min(agency, line) AS agency, notice AS notice_id, 'Solicitation' AS type, arg_min(posted, line) AS posted_date, arg_min(deadline, line) AS response_deadline FROM x WHERE title IS NOT NULL AND notice <> 'N7' GROUP BY notice""")
+def csv_rows(t: Tables):
+    k = F.col("c_custkey")
+    quoted = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""big"""'))
+    line = F.concat_ws(",", F.when(k % 10 == 0, " ").otherwise(quoted), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.concat(F.lit("N"), (k % 1000).cast("string")), F.when(k % 2 == 0, "02/03/2024").otherwise("someday"), F.when(k % 4 == 0, "2024-05-06").otherwise(""), F.lit(""), F.lit("http://x/"))
+    parsed = csv_import.parse_lines(t.customer.select(k.alias("line"), line.alias("csv")), "csv", HEADERS, ["line"])
+    good, _ = csv_import.to_records(parsed, "line", moment("2025-01-01"))
+    stored = registry.inline(t.spark, "notice_id string", [("N7",)])
+    return csv_import.new_notices(good, stored).select("line", "title", "agency", "notice_id", "type", F.col("posted_date").cast("timestamp_ntz").alias("posted_date"), F.col("response_deadline").cast("timestamp_ntz").alias("response_deadline"))
+
+
+@query("SRC04 AGG19", "SELECT c_custkey AS line, 'Row ' || c_custkey || ': missing title' AS message FROM customer WHERE c_custkey % 10 = 0")
+def csv_rejects(t: Tables):
+    k = F.col("c_custkey")
+    rows = t.customer.select(k.alias("line"), F.concat_ws(",", F.when(k % 10 == 0, "").otherwise(F.col("c_name")), F.lit("a")).alias("csv"))
+    return csv_import.to_records(csv_import.parse_lines(rows, "csv", ["name", "agency"], ["line"]), "line", moment("2025-01-01"))[1]
+
+
+@query("SRC13", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)[1:5] AS b FROM pages)
+SELECT page_id, CAST(i AS INTEGER) AS pos, regexp_extract(b[i], '(?i)href="([^"]*)"', 1) AS link, trim(regexp_extract(b[i], '(?is)<a[^>]*>(.*?)</a>', 1)) AS title FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS i FROM x)""")
+def item_blocks(t: Tables):
+    blocks = F.slice(F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1)), 1, 5)
+    rows = t.pages.select("page_id", F.posexplode(blocks).alias("pos", "b"))
+    return rows.select("page_id", (F.col("pos") + 1).alias("pos"), F.regexp_extract("b", r'(?i)href="([^"]*)"', 1).alias("link"), feeds.tag(F.col("b"), "a").alias("title"))
+
+
+def _feed(t: Tables):
+    item = lambda i: F.concat(F.lit("<item x='1'>"), F.when((F.col("n_nationkey") + i) % 3 == 0, "").otherwise(F.concat(F.lit("<title><![CDATA[ "), "n_name", F.lit(f" - Level {i} ]]></title>"))), F.lit(f"<summary>note {i}</summary><guid>g{i}</guid><dc:date>2024-01-0{i}</dc:date></item>"))
+    return t.nation.select("n_nationkey", F.concat(F.lit("<rss>"), *[item(i) for i in range(1, 6)], F.lit("</rss>")).alias("xml"))
+
+
+FEED_SQL = "SELECT n_nationkey, i AS pos, CASE WHEN (n_nationkey + i) % 3 = 0 THEN 'Untitled' ELSE n_name || ' - Level ' || i END AS title, 'note ' || i AS description, 'g' || i AS link, '2024-01-0' || i AS published FROM nation, (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS i)"
+
+
+@query("SRC13 SRC14", FEED_SQL)
+def rss_feeds(t: Tables):
+    return feeds.items(_feed(t), "xml", ["n_nationkey"], limit=4)
+
+
+@query("SRC14 REG12 CLS20", f"SELECT n_nationkey, pos, CASE WHEN title = 'Untitled' THEN title ELSE split_part(title, ' - ', 1) END AS region, CAST(CASE WHEN pos IN (3, 4) AND title <> 'Untitled' THEN 75 ELSE 45 END AS INTEGER) AS score, CASE WHEN pos IN (3, 4) AND title <> 'Untitled' THEN 'brief' ELSE 'monitor' END AS tag FROM ({FEED_SQL}) WHERE regexp_matches(title, '(?i)nation')")
+def advisory_feed(t: Tables):
+    return feeds.advisories(feeds.relevant(feeds.items(_feed(t), "xml", ["n_nationkey"], limit=4), "(?i)nation")).select("n_nationkey", "pos", "region", "score", "tag")
+
+
+def _notices(t: Tables):
+    """Payloads of two notices each, composed from orders."""
+    k = F.col("o_orderkey")
+    one = F.struct(
+        F.concat(F.lit("n"), k.cast("string")).alias("noticeId"),
+        F.when(k % 7 != 0, F.concat(F.lit("Drug testing "), k.cast("string"))).alias("title"),
+        F.concat(F.lit("DEPARTMENT OF DEFENSE . "), F.col("o_orderpriority")).alias("fullParentPathName"),
+        F.lit("Presolicitation").alias("baseType"),
+        F.when(k % 2 == 0, "Yes").otherwise("No").alias("active"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("responseDeadLine"),
+        F.struct(F.struct(F.when(k % 3 == 0, "").otherwise("Reno").alias("name")).alias("city"), F.struct(F.lit("NV").alias("code")).alias("state")).alias("placeOfPerformance"),
+        F.struct(F.col("o_totalprice").cast("string").alias("amount"), F.struct(F.lit("ACME").alias("name")).alias("awardee")).alias("award"),
+    )
+    return t.orders.select("o_orderkey", F.to_json(F.struct(F.array(one, one).alias("opportunitiesData"))).alias("payload"))
+
+
+@query("SRC08 SRC09", """SELECT o_orderkey, 'n' || o_orderkey AS external_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Untitled' ELSE 'Drug testing ' || o_orderkey END AS title, 'DEPARTMENT OF DEFENSE' AS agency, o_orderpriority AS sub_agency, 'Presolicitation' AS type, CASE WHEN o_orderkey % 2 = 0 THEN 'active' ELSE 'archived' END AS status,
+o_orderdate AS response_deadline, CASE WHEN o_orderkey % 3 = 0 THEN 'NV' ELSE 'Reno, NV' END AS place_of_performance, o_totalprice AS award_amount FROM orders, (SELECT unnest([1, 2]))""")
+def notice_source(t: Tables):
+    rows = envelopes.notices(_notices(t), "payload", ["o_orderkey"])
+    return rows.select("o_orderkey", "external_id", "title", "agency", "sub_agency", "type", "status", F.col("response_deadline").cast("timestamp_ntz").alias("response_deadline"), "place_of_performance", "award_amount")
+
+
+@query("SRC10 SRC11 SCO02", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 45 ELSE 80 END::INTEGER AS forecast, CASE WHEN d BETWEEN 0 AND 89 THEN 'closing-soon' ELSE 'active' END AS status, CAST(CASE WHEN d BETWEEN 0 AND 89 THEN 75 ELSE 45 END AS INTEGER) AS score, d AS days
+FROM (SELECT *, CAST(floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1998-06-15')) / 86400000000) AS BIGINT) AS d FROM orders)""")
+def notice_items(t: Tables):
+    first = envelopes.forecast_items(_notices(t), "payload", ["o_orderkey"], first=1).select("o_orderkey", F.col("score").alias("forecast"))
+    return first.join(envelopes.closing_items(_notices(t), "payload", ["o_orderkey"], moment("1998-06-15"), first=1).select("o_orderkey", "status", "score", "days"), "o_orderkey")
+
+
+@query("SRC12 SCO03 SCO06", f"""SELECT l_orderkey, l_linenumber, 'Award: A' || l_orderkey || ' — Unknown' AS title, d AS days, CAST(least(100, 20 + 25 + CASE WHEN d < 365 THEN 30 WHEN d < 548 THEN 15 ELSE 0 END + CASE WHEN m > 1000000 THEN 15 ELSE 0 END) AS INTEGER) AS score, CASE WHEN d < 548 THEN 'pursue' ELSE 'monitor' END AS tag,
+CASE WHEN l_shipdate < TIMESTAMP '1998-06-15' THEN 'expired' ELSE 'active' END AS status, CAST(least(100, 30 + 30 + CASE WHEN m > 5000000 THEN 25 WHEN m > 1000000 THEN 15 ELSE 0 END) AS INTEGER) AS incumbent
+FROM (SELECT *, l_extendedprice * 100 AS m, CAST(floor((epoch_us(l_shipdate) - epoch_us(TIMESTAMP '1998-06-15')) / 86400000000) AS BIGINT) AS d FROM lineitem WHERE l_orderkey % 20 = 0)""")
+def award_source(t: Tables):
+    one = F.struct(F.concat(F.lit("A"), F.col("l_orderkey").cast("string")).alias("Award ID"), (F.col("l_extendedprice") * 100).alias("Award Amount"), F.lit("Defense Health").alias("Awarding Agency"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("End Date"))
+    rows = t.lineitem.where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.array(one).alias("results"))).alias("payload"))
+    as_of = moment("1998-06-15")
+    keep = ["l_orderkey", "l_linenumber", "payload"]
+    awards = envelopes.award_items(rows, "payload", keep, as_of).drop("status", "pos")
+    r = envelopes.flat(awards, "payload", "$.results", envelopes.AWARD, [c for c in awards.columns if c != "payload"], 40)
+    ended = envelopes.permissive(F.col("r")["End Date"]) < as_of
+    return r.select("l_orderkey", "l_linenumber", "title", "days", "score", "tag", F.when(ended, "expired").otherwise("active").alias("status"), scoring.incumbent(F.lower(F.col("r")["Awarding Agency"]), F.col("r")["Award Amount"]).alias("incumbent"))
+
+
+@query("SRC15 SRC16 SRC17 SRC18 SRC28 SRC30", """SELECT n_nationkey, n_name AS hit, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 80 ELSE 40 END AS INTEGER) AS policy, 'lead ' || n_name AS duty, CAST(85 AS INTEGER) AS leadership, CAST(55 AS INTEGER) AS budget, CASE WHEN n_nationkey % 3 = 0 THEN 'Active' ELSE 'Closed' END AS case_status, CAST(n_nationkey * 10 AS DOUBLE) AS paid FROM nation""")
+def envelope_sources(t: Tables):
+    k = F.col("n_nationkey")
+    hit = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.col("n_name").alias("title")).alias("_source"))).alias("hits")).alias("hits")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("title"))).alias("results"))))
+    article = F.to_json(F.struct(F.array(F.struct(F.when(k % 2 == 0, "OSHA update").otherwise("Land").alias("title"), F.lit("RULE").alias("type"))).alias("results")))
+    post = F.struct(F.lit("Medical Officer").alias("PositionTitle"), F.lit("State").alias("DepartmentName"), F.array(F.lit("http://a")).alias("ApplyURI"), F.struct(F.struct(F.array(F.concat(F.lit("lead "), "n_name")).alias("MajorDuties")).alias("Details")).alias("UserArea"))
+    posting = F.to_json(F.struct(F.struct(F.array(F.struct(post.alias("MatchedObjectDescriptor"))).alias("SearchResultItems")).alias("SearchResult")))
+    document = F.to_json(F.struct(F.array(F.struct(F.lit("Workforce plan").alias("title"))).alias("results")))
+    case = F.to_json(F.struct(F.array(F.struct(F.lit("d1").alias("docket_id"), F.when(k % 3 != 0, "2020-01-01").alias("dateTerminated"))).alias("results")))
+    paid = F.to_json(F.struct(F.array(F.struct((k * 10).cast("double").alias("disbursement_amount"), F.lit("RNC").alias("recipient_name"))).alias("results")))
+    out = t.nation.select("n_nationkey", hit.alias("p1"), article.alias("p2"), posting.alias("p3"), document.alias("p4"), case.alias("p5"), paid.alias("p6"))
+    rest = ["n_nationkey", "p2", "p3", "p4", "p5", "p6"]
+    out = envelopes.search_hits(out, "p1", rest).select(*rest, F.col("title").alias("hit"))
+    out = envelopes.articles(out, "p2", ["n_nationkey", "p3", "p4", "p5", "p6", "hit"]).select("n_nationkey", "p3", "p4", "p5", "p6", "hit", F.col("score").alias("policy"))
+    out = envelopes.postings(out, "p3", ["n_nationkey", "p4", "p5", "p6", "hit", "policy"]).select("n_nationkey", "p4", "p5", "p6", "hit", "policy", "duty", F.col("score").alias("leadership"))
+    out = envelopes.budget_documents(out, "p4", ["n_nationkey", "p5", "p6", "hit", "policy", "duty", "leadership"]).select("n_nationkey", "p5", "p6", "hit", "policy", "duty", "leadership", F.col("score").alias("budget"))
+    out = envelopes.court_cases(out, "p5", ["n_nationkey", "p6", "hit", "policy", "duty", "leadership", "budget"]).select("n_nationkey", "p6", "hit", "policy", "duty", "leadership", "budget", F.col("status").alias("case_status"))
+    out = envelopes.disbursements(out, "p6", ["n_nationkey", "hit", "policy", "duty", "leadership", "budget", "case_status"])
+    return out.select("n_nationkey", "hit", "policy", "duty", "leadership", "budget", "case_status", F.col("amount").alias("paid"))
+
+
+@query("SRC29 FLT13 REG07", "SELECT o_orderkey, CAST(o_orderkey % 5 AS INTEGER) AS violations, 'CA' AS state FROM orders WHERE o_orderkey % 4 <> 1")
+def enforcement_search(t: Tables):
+    k = F.col("o_orderkey")
+    snippet = F.when(k % 4 == 1, "garden news").otherwise(F.concat(F.lit("osha: "), (k % 5).cast("string"), F.lit(" serious violations")))
+    rows = t.orders.select("o_orderkey", snippet.alias("s"), F.lit("http://osha.x/?state=CA").alias("link"))
+    kept = rows.where(F.contains(F.col("link"), F.lit("osha.gov")) | F.col("s").rlike(r"(?i)\b(osha|inspection|violation|penalty|citation|willful|serious|recordable|fatality|illness|safety|health)\b"))
+    return kept.select("o_orderkey", text.group(F.col("s"), r"(?i)(\d+)\s+(?:serious\s+)?violation").try_cast("int").alias("violations"), F.coalesce(text.group(F.col("s"), r"\b([A-Z]{2})\b"), text.group(F.col("link"), r"(?i)state=([A-Z]{2})")).alias("state"))
+
+
+@query("SRC20 SRC21 SRC22 SRC23 SRC24 DED01", "SELECT link, CAST(min(q) AS INTEGER) AS query_idx, 'serper' || min(pos) AS first_pos FROM (SELECT 'http://a/' || user_id AS link, CAST(event_id % 3 AS INTEGER) AS q, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY link")
+def search_sources(t: Tables):
+    results = t.events.select(F.concat(F.lit("http://a/"), F.col("user_id").cast("string")).alias("link"), (F.col("event_id") % 3).cast("int").alias("query_idx"), F.col("event_id").alias("pos"))
+    first = dedupe.first_seen(results, "link", ["query_idx", "pos"])
+    return first.select("link", "query_idx", F.concat(F.lit("serper"), F.col("pos").cast("string")).alias("first_pos"))
+
+
+@query("SRC26 SRC34 SRC35 SRC36 SRC37 SRC38", """SELECT 'registry' AS kind, 'site:a.gov OR site:b.gov health' AS value, 2::BIGINT AS n UNION ALL SELECT 'states', 'Texas', 51 UNION ALL SELECT 'setting', 'db', 1 UNION ALL SELECT 'setting', 'env', 1 UNION ALL SELECT 'provider samGov', 'configured', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'provider tango', 'configured', 0""")
+def registry_dimensions(t: Tables):
+    portals = registry.inline(t.spark, "g string, site string", [("x", "b.gov"), ("x", "a.gov")])
+    site = registry.site_query(portals, "g", "site", "health").select(F.lit("registry").alias("kind"), F.col("query").alias("value"), F.lit(2).cast("bigint").alias("n"))
+    known = registry.states(t.spark)
+    full = registry.seeded(known.where("state_code <> 'TX'"), known, "state_code")
+    states = full.agg(F.lit("states").alias("kind"), F.max(F.when(F.col("state_code") == "TX", F.col("state_name"))).alias("value"), F.count("*").alias("n"))
+    db, env = registry.inline(t.spark, "key string, value string", [("a", "db"), ("b", "")]), registry.inline(t.spark, "key string, value string", [("a", "env"), ("b", "env"), ("c", "")])
+    settings = registry.setting(db, env).where("value is not null").select(F.lit("setting").alias("kind"), "value", F.lit(1).cast("bigint").alias("n"))
+    counts = t.orders.where("o_orderstatus = 'F'").agg(F.count("*").alias("n")).withColumn("name", F.lit("samGov"))
+    providers = registry.provider_status(registry.inline(t.spark, "name string", [("samGov",), ("tango",)]), counts, "name").select(F.concat(F.lit("provider "), "name").alias("kind"), F.lit("configured").alias("value"), "n")
+    return site.unionByName(states).unionByName(settings).unionByName(providers)
+
+
+@query("SRC39 SET03", "SELECT n_nationkey, CAST(i AS INTEGER) AS template, replace(['{state} RFP 2025', 'health {state}'][i], '{state}', n_name) AS query FROM nation, (SELECT unnest([1, 2]) AS i)")
+def template_expand(t: Tables):
+    templates = registry.inline(t.spark, "template int, text string", [(1, "{state} RFP 2025"), (2, "health {state}")])
+    rows = registry.expanded(t.nation, templates.select("template", "text"), "text", {"{state}": "n_name"})
+    return rows.select("n_nationkey", "template", "query")
+
+
+@query("SRC27 FLT10", "SELECT s_suppkey AS id, 'wiki' AS src FROM supplier WHERE s_suppkey <= 3")
+def supplement_sources(t: Tables):
+    primary = t.supplier.where("s_suppkey < 0").select(F.col("s_suppkey").alias("id"), F.lit("serper").alias("src"))
+    wiki = t.supplier.where("s_suppkey <= 3").select(F.col("s_suppkey").alias("id"), F.lit("wiki").alias("src"))
+    return filters.with_fallback(primary, wiki)
+
+
+BLOCK, KEEP, REJECT = ["example.net"], ["thing", "and", "que", "der"], ["zukeit", "copyright"]
+BODY_SQL = r"lower(regexp_replace(html, '<[^>]+>', ' ', 'g'))"
+SCORE = " + ".join(f"CASE WHEN contains(x, '{w}') THEN 10 ELSE 0 END" for w in [w.lower() for w in scoring.RELEVANCE_WORDS])
+
+
+@query(
+    "FLT07 FLT08 DED02 SCO09 CLS17 TOP01 AGG19 STR11",
+    f"""WITH p AS (SELECT page_id, url, {HOST_SQL} AS host, {BODY_SQL} AS x FROM pages), k AS (SELECT * FROM p WHERE NOT (host = 'example.net' OR ends_with(host, '.example.net')) AND NOT {any_sql('x', REJECT)} AND {any_sql('x', KEEP)}),
+    s AS (SELECT page_id, host, url, CAST(least(100, {SCORE} + 30) AS INTEGER) AS score FROM k), f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM s)
+    SELECT page_id, host, 'web-' || substr(sha256(url), 1, 20) AS id, score, CASE WHEN score >= 70 THEN 'pursue' WHEN score >= 45 THEN 'monitor' ELSE 'wait' END AS tag, CAST(row_number() OVER (ORDER BY score DESC, page_id) AS INTEGER) AS pos FROM f WHERE rn = 1 ORDER BY pos LIMIT 50""",
+)
+def discovery_pipeline(t: Tables):
+    """Flagship: block list, gate, first seen by URL, relevance, tag, the best fifty."""
+    from pyspark.sql import Window
+
+    pages = t.pages.where(~filters.blocked("url", BLOCK)).select("page_id", "url", text.url_host("url").alias("host"), F.lower(F.regexp_replace("html", "<[^>]+>", " ")).alias("x"))
+    kept = pages.where(filters.gate(F.col("x"), KEEP, REJECT))
+    scored = kept.select("page_id", "host", "url", F.least(F.lit(100), scoring.keyword_relevance(F.col("x")) + 30).alias("score"))
+    unique = dedupe.first_seen(scored, "url", ["page_id"])
+    order = [F.desc("score"), F.asc("page_id")]
+    top = unique.orderBy(*order).limit(50).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+    return top.select("page_id", "host", text.url_id("url").alias("id"), "score", rules.action_tag(F.col("score")).alias("tag"), "pos")
