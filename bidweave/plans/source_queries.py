@@ -190,3 +190,8 @@ def discovery_pipeline(t: Tables):
     order = [F.desc("score"), F.asc("page_id")]
     top = unique.orderBy(*order).limit(50).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     return top.select("page_id", "host", text.url_id("url").alias("id"), "score", rules.action_tag(F.col("score")).alias("tag"), "pos")
+
+
+@query("SRC32", "SELECT 'tango' AS source, 'source not available' AS message UNION ALL SELECT 'bidnet', 'source not available'")
+def source_errors(t: Tables):
+    return registry.unavailable(t.spark, "tango", "source not available")[1].unionByName(registry.unavailable(t.spark, "bidnet", "source not available")[1])

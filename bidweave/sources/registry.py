@@ -124,3 +124,11 @@ def site_query(portals: DataFrame, group: str, site: str, topic: str) -> DataFra
     """One query per group: its sites joined by OR, then the topic. A group's portals are few by nature."""
     sites = F.array_join(F.transform(F.array_sort(F.collect_list(site)), lambda s: F.concat(F.lit("site:"), s)), " OR ")
     return portals.groupBy(group).agg(F.concat(sites, F.lit(f" {topic}")).alias("query"))
+
+
+def unavailable(spark: SparkSession, name: str, message: str) -> tuple[DataFrame, DataFrame]:
+    """A source that can't be asked: no rows of the canonical shape, and one error row (source, message)."""
+    from bidweave.schemas import CANONICAL
+
+    rows = spark.createDataFrame([], CANONICAL)
+    return rows, inline(spark, "source string, message string", [(name, message)])
