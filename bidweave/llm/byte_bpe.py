@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.bpe_core import SHIFT, merge
-from bidweave.llm.common import sliced, steps
+from bidweave.llm.common import prepare, sliced, steps
 
 # Classes of code points.
 SEP, LETTER, NUMBER, SPACE, WHITE, OTHER = range(6)
@@ -241,6 +241,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives none, other columns are left out, and long texts are taken whole.
     ``ranks_path`` is a path on the executors; by default the installed public vocabulary.
     """
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", offsets array<int>" * keep_offsets
     taken = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
@@ -249,6 +250,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ranks_path: str | None = None) -> DataFrame:
     """Adds the UTF-8 text of an array of ids; null ids give null, an empty array gives the empty text."""
+    prepare(df.sparkSession)
 
     def run(series):
         import pandas as pd

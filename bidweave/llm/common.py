@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -19,8 +21,16 @@ STEP_CHARS = 1 << 20
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless their Python path has it already."""
+#: Rows that Spark hands to a Python worker at once. Rows are whole texts, so its default of 10,000 would take hundreds of MB.
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes a session fit for the operators that run Python: small Arrow batches, unless the
+    session asks for yet smaller ones, and this package on the executors, unless their path has it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     context = spark.sparkContext
     roots = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if str(PACKAGE.parent) in roots or getattr(context, "_bidweave_shipped", False):
@@ -35,7 +45,6 @@ def ship(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder. Only Spark opens the path, so any store that Spark knows will do."""
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,10 +61,25 @@ def steps(texts: list[str], budget: int = STEP_CHARS) -> Iterator[tuple[int, int
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches (views, nothing is copied), so that few texts are Python objects at a time."""
+    """The same rows in smaller batches (views, nothing is copied), so that few texts are Python objects at a time.
+
+    What earlier batches took is given back to the system: workers live longer than tasks."""
+    size = 0
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        size += batch.nbytes
+        if size > 16 << 20:
+            size = 0
+            give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow's pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str | None:

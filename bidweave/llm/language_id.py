@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.byte_bpe import LETTER, classes
-from bidweave.llm.common import sliced, steps
+from bidweave.llm.common import prepare, sliced, steps
 
 #: Language codes by family. A code that is missing here is a family of its own.
 FAMILIES = {
@@ -145,6 +145,7 @@ class Model:
 
 def held_out(id_col: str | Column) -> Column:
     """True for the fifth of the documents that nothing is learned from."""
+    prepare(docs.sparkSession)
     col = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.coalesce(F.pmod(F.crc32(F.encode(col.cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
 
@@ -156,6 +157,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     every run; one pass counts the languages, another takes the rows that a hash threshold
     picks, so no language's rows are sorted or gathered. An empty sample gives a model
     that knows no language."""
+    prepare(docs.sparkSession)
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:

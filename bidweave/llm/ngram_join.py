@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.llm.common import cut_lineage, sliced
+from bidweave.llm.common import cut_lineage, prepare, sliced
 from bidweave.llm.components import connected, loose
 
 #: Nodes of a chunk; a block compares one chunk with itself or with another.
@@ -117,7 +117,7 @@ def _signatures(n: int, bands: int, rows: int, with_set: bool):
             while start < len(texts):
                 stop = start
                 size = 0
-                while stop < len(texts) and (size == 0 or size + len(texts[stop]) < 2_000_000):
+                while stop < len(texts) and (size == 0 or size + len(texts[stop]) < 1_000_000):
                     size += len(texts[stop]) + 1
                     stop += 1
                 sets = [shingles(t, n) for t in texts[start:stop]]
@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A pair right at the threshold is found with probability ``recall``, others above it with more.
     """
+    prepare(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     taken = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     signed = cut_lineage(taken.mapInArrow(_signatures(n, bands, rows, False), "_id bigint, set_key string, bands array<bigint>"))

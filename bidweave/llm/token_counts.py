@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.bpe_core import SHIFT, merge
-from bidweave.llm.common import sliced
+from bidweave.llm.common import prepare, sliced
 
 #: How the vocabulary writes a blank.
 BLANK = "▁"
@@ -217,6 +217,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own encoding stays within the budget). Null counts as the empty text: 0 tokens. Repeated rows each give a row, an empty table
     gives none, other columns are left out. ``model_path`` is a path on the executors.
     """
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
