@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bidweave.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
-from bidweave.llm.common import cut_lineage, read, ship, without
+from bidweave.llm.common import cut_lineage, read, without
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; null and letterless texts go. The language found replaces none of the columns."""
-    ship(spark)
     model = language_id.fit(docs)
     seen = language_id.predict(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
     return seen.where(seen["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
@@ -26,7 +25,6 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest id stays."""
-    ship(spark)
     classes = ngram_join.near_duplicates(docs)
     return without(docs, classes.where("doc_id <> class_id").select("doc_id"))
 
@@ -39,7 +37,6 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the decoded bytes."""
-    ship(spark)
     return byte_bpe.encode_documents(docs, keep_ids=True)
 
 
