@@ -129,12 +129,12 @@ def boundaries(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     of_symbol, compose, from_free, constant, boundary = automaton()
     prefix = of_symbol[symbol]
     distance = 1
-    while distance < n and not constant[prefix[:distance]].all() | constant[prefix].all():
+    # An entry covers the last ``distance`` symbols up to its place, so those before it are whole,
+    # and of the others those that are constant no longer depend on what lies further back.
+    while distance < n and not constant[prefix[distance:]].all():
         joined = prefix.copy()
         joined[distance:] = compose[(prefix[:-distance].astype(np.uint16) << 8) | prefix[distance:]]
         prefix, distance = joined, distance * 2
-        if constant[prefix[distance:]].all():
-            break
     state = np.empty(n, np.uint8)
     state[0], state[1:] = FREE, from_free[prefix[:-1]]
     starts = np.flatnonzero(boundary[state.astype(np.uint8) * 10 + symbol])
