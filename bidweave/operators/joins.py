@@ -41,3 +41,26 @@ def first_match(rows: DataFrame, host: str, portals: DataFrame, default: str) ->
 def labelled(rows: DataFrame, code: str, labels: DataFrame, default: str) -> DataFrame:
     """Code to label through a small dimension (code, label)."""
     return rows.join(F.broadcast(labels.withColumnRenamed("code", code)), code, "left").withColumn("label", F.coalesce("label", F.lit(default)))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Each left row with the value of the latest right row of its key at or before its time.
+
+    Both sides are one stream per key in time order, and the last value seen is carried along: one
+    shuffle, no pairs. Of right rows at one time the largest value counts."""
+    from pyspark.sql import Window
+
+    rest = [c for c in left.columns if c not in (key, ts)]
+    marks = right.groupBy(key, ts).agg(F.max(value).alias(value)).select(key, ts, F.lit(0).alias("_side"), value, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest])
+    rows = left.select(key, ts, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias(value), *rest)
+    order = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.unionByName(rows).withColumn(value, F.last(value, ignorenulls=True).over(order)).where("_side = 1").drop("_side")
+
+
+def in_range(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
+    """Pairs with lo <= value < hi, by equality of buckets: a range has a row in every bucket that it meets.
+
+    ``width`` should be near the ranges' usual length; it changes the cost only."""
+    bucket = lambda c: F.floor(c / width)
+    cut = ranges.where(F.col(hi) > F.col(lo)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi)))))
+    return points.withColumn("_bucket", bucket(F.col(value))).join(cut, "_bucket").where((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).drop("_bucket")
