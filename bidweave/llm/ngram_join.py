@@ -28,6 +28,8 @@ from bidweave.llm.components import connected, loose
 
 #: Nodes of a chunk; a block compares one chunk with itself or with another.
 CHUNK = 256
+#: A component is compared as a whole if its square is at most so many times the squares of its buckets.
+DENSE = 4
 #: A table of ids is broadcast only if it was counted to have no more rows than this (8 bytes each).
 BROADCAST_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Blocks: of a candidate component where it is small or dense, else of its buckets.
     work = members.where("node = head").select("head", "n").join(labels, F.col("head") == F.col("node")).groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).join(work, "comp")
-    whole = (F.col("size") <= CHUNK) | (F.col("size") * F.col("size") <= 4 * F.col("work"))
+    whole = (F.col("size") <= CHUNK) | (F.col("size") * F.col("size") <= DENSE * F.col("work"))
     sizes = sizes.select(loose("comp").alias("comp"), "size", whole.alias("whole"))
     placed = labels.select("node", loose("comp").alias("comp")).join(sizes, "comp")
     by_component = placed.where("whole").select("node", F.col("comp").alias("g1"), F.lit(-1).alias("g2"), F.col("size").alias("n"))

@@ -76,9 +76,12 @@ def test_near_duplicates_equal_brute_force(documents, corpus):
     assert got == brute_classes(corpus)
 
 
-def test_large_groups_are_compared_in_blocks(documents, monkeypatch):
-    """A family larger than a chunk: every pair of chunks is a block, and no link is lost or counted twice."""
+@pytest.mark.parametrize("dense", [4, 0])
+def test_large_groups_are_compared_in_blocks(documents, monkeypatch, dense):
+    """A family larger than a chunk: every pair of chunks of the component (or, where it is sparse, of each
+    bucket) is a block, and no link is lost or counted twice."""
     monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
     rng = random.Random(9)
     base = words(rng, 150)
     rows = [(i, " ".join(edited(rng, base, 2))) for i in range(45)] + [(100 + i, " ".join(words(rng, 50))) for i in range(5)]
