@@ -154,6 +154,10 @@ def test_template_of_a_host_is_left_out(spark):
     assert not any(t.startswith("Welcome") for i, t in out.items() if i != 20)
 
 
+def test_references_do_not_form_across_tags():
+    assert html_extract.Page("<p>a &am<b>p;</b> &amp b &#x41;&#66;&bogus; &lt;p&gt;").text([]) == "a &amp; & b AB&bogus; <p>"
+
+
 @pytest.mark.parametrize("source", ["<p", "<", "a < b > c", "<p>x</div></p></p>", "<!-- open", "<script>never closed", "<table><tr><td>a<td>b<tr><td>c</table>", "<p>" * 3000, "<div hidden>h</div>z", "<b>" + "y" * 100_000])
 def test_broken_markup_does_not_stop(source):
     text = html_extract.Page(source).text([])
