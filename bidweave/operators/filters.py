@@ -96,3 +96,8 @@ def in_domain(column: str | Column, allowed: Iterable[str], default: str) -> Col
 def first_rows(df: DataFrame, predicate: Column, order: list[Column], n: int) -> DataFrame:
     """The first n rows that satisfy the predicate, with their position."""
     return df.where(predicate).orderBy(*order).limit(n).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+
+
+def placed(df: DataFrame, parents: list[str], order: list[Column]) -> DataFrame:
+    """All rows with their position among those of the same parent."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*parents).orderBy(*order)))

@@ -24,12 +24,13 @@ def patch_update(t: Tables):
     return merge.patched(state, patch, "c_custkey")
 
 
-@query("SNK05 SNK06", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE 'changed' END WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'changed' END ELSE c_name END AS title,
-CASE WHEN c_custkey % 2 = 0 THEN 'pursue' ELSE 'monitor' END AS tag FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+@query("SNK05 SNK06", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'changed' END WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN 'changed' ELSE c_name END AS title,
+CASE WHEN c_custkey % 2 = 0 THEN 'pursue' ELSE 'monitor' END AS tag FROM customer""")
 def keyed_upsert(t: Tables):
+    """State: even keys. Change: odd keys (new) and multiples of three; a null title keeps the old one, a tag stays."""
     k = F.col("c_custkey")
     state = t.customer.where(k % 2 == 0).select(k.alias("id"), F.col("c_name").alias("title"), F.lit("pursue").alias("tag"))
-    change = t.customer.where(k % 3 == 0).select(k.alias("id"), F.when(k % 4 == 0, F.lit(None)).otherwise("changed").alias("title"), F.lit("monitor").alias("tag"))
+    change = t.customer.where((k % 2 == 1) | (k % 3 == 0)).select(k.alias("id"), F.when(k % 5 == 0, F.lit(None)).otherwise("changed").alias("title"), F.lit("monitor").alias("tag"))
     return merge.upserted(state, change, "id", keep=["tag"])
 
 

@@ -141,19 +141,21 @@ def membership(t: Tables):
     return t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SRT04", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'O') ASC NULLS LAST, nullif(o_orderpriority, '5-LOW') ASC NULLS LAST, o_orderkey) AS INTEGER) AS pos FROM orders ORDER BY pos LIMIT 100")
+@query("SRT04", "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'O') ASC NULLS LAST, nullif(o_orderpriority, '5-LOW') ASC NULLS LAST, o_orderkey) AS INTEGER) AS pos FROM orders")
 def nulls_order(t: Tables):
-    rows = t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("a"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("b"))
-    return f.page(rows, [F.asc_nulls_last("a"), F.asc_nulls_last("b"), F.asc("o_orderkey")], size=100).select("o_orderkey", "pos")
+    """A parent's children in order, nulls last."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("O")).alias("a"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("b"))
+    return f.placed(rows, ["o_custkey"], [F.asc_nulls_last("a"), F.asc_nulls_last("b"), F.asc("o_orderkey")]).select("o_orderkey", "o_custkey", "pos")
 
 
 PRIORITIES = ["2-HIGH", "1-URGENT", "5-LOW", "3-MEDIUM", "4-NOT SPECIFIED"]
 
 
-@query("SRT05 SRT07", "SELECT o_orderkey, list_position(['2-HIGH', '1-URGENT', '5-LOW', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority) AS ordinal, CAST(row_number() OVER (ORDER BY list_position(['2-HIGH', '1-URGENT', '5-LOW', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), o_orderkey) AS INTEGER) AS pos FROM orders ORDER BY pos LIMIT 150")
+@query("SRT05 SRT07", "SELECT o_orderkey, CAST(k AS INTEGER) AS ordinal, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY k, o_orderkey) AS INTEGER) AS pos FROM (SELECT *, list_position(['2-HIGH', '1-URGENT', '5-LOW', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority) AS k FROM orders)")
 def enum_order(t: Tables):
-    rows = t.orders.select("o_orderkey", ordinal(F.col("o_orderpriority"), PRIORITIES).cast("int").alias("ordinal"))
-    return f.page(rows, [F.asc("ordinal"), F.asc("o_orderkey")], size=150).select("o_orderkey", "ordinal", "pos")
+    """A parent's children in the order in which an enum declares its values."""
+    rows = t.orders.select("o_orderkey", "o_custkey", ordinal(F.col("o_orderpriority"), PRIORITIES).cast("int").alias("ordinal"))
+    return f.placed(rows, ["o_custkey"], [F.asc("ordinal"), F.asc("o_orderkey")]).select("o_orderkey", "ordinal", "pos")
 
 
 @query("SNK09", "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')")

@@ -91,10 +91,10 @@ def notice_items(t: Tables):
 
 @query("SRC12 SCO03 SCO06", f"""SELECT l_orderkey, l_linenumber, 'Award: A' || l_orderkey || ' — Unknown' AS title, d AS days, CAST(least(100, 20 + 25 + CASE WHEN d < 365 THEN 30 WHEN d < 548 THEN 15 ELSE 0 END + CASE WHEN m > 1000000 THEN 15 ELSE 0 END) AS INTEGER) AS score, CASE WHEN d < 548 THEN 'pursue' ELSE 'monitor' END AS tag,
 CASE WHEN l_shipdate < TIMESTAMP '1998-06-15' THEN 'expired' ELSE 'active' END AS status, CAST(least(100, 30 + 30 + CASE WHEN m > 5000000 THEN 25 WHEN m > 1000000 THEN 15 ELSE 0 END) AS INTEGER) AS incumbent
-FROM (SELECT *, l_extendedprice * 100 AS m, CAST(floor((epoch_us(l_shipdate) - epoch_us(TIMESTAMP '1998-06-15')) / 86400000000) AS BIGINT) AS d FROM lineitem WHERE l_orderkey % 20 = 0)""")
+FROM (SELECT *, l_extendedprice * 100 AS m, CAST(floor((epoch_us(l_shipdate) - epoch_us(TIMESTAMP '1998-06-15')) / 86400000000) AS BIGINT) AS d FROM lineitem)""")
 def award_source(t: Tables):
     one = F.struct(F.concat(F.lit("A"), F.col("l_orderkey").cast("string")).alias("Award ID"), (F.col("l_extendedprice") * 100).alias("Award Amount"), F.lit("Defense Health").alias("Awarding Agency"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("End Date"))
-    rows = t.lineitem.where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.array(one).alias("results"))).alias("payload"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.array(one).alias("results"))).alias("payload"))
     as_of = moment("1998-06-15")
     keep = ["l_orderkey", "l_linenumber", "payload"]
     awards = envelopes.award_items(rows, "payload", keep, as_of).drop("status", "pos")
@@ -161,10 +161,10 @@ def template_expand(t: Tables):
     return rows.select("n_nationkey", "template", "query")
 
 
-@query("SRC27 FLT10", "SELECT s_suppkey AS id, 'wiki' AS src FROM supplier WHERE s_suppkey <= 3")
+@query("SRC27 FLT10", "SELECT s_suppkey AS id, 'wiki' AS src FROM supplier")
 def supplement_sources(t: Tables):
-    primary = t.supplier.where("s_suppkey < 0").select(F.col("s_suppkey").alias("id"), F.lit("serper").alias("src"))
-    wiki = t.supplier.where("s_suppkey <= 3").select(F.col("s_suppkey").alias("id"), F.lit("wiki").alias("src"))
+    primary = t.supplier.where("s_acctbal > 1e9").select(F.col("s_suppkey").alias("id"), F.lit("serper").alias("src"))
+    wiki = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("wiki").alias("src"))
     return filters.with_fallback(primary, wiki)
 
 

@@ -296,13 +296,15 @@ def portal_record(t: Tables):
 
 @query(
     "JOI03",
-    """SELECT doc_id, CASE WHEN b.text IS NOT NULL AND length(b.text) > 200 THEN substring(b.text, 1, 100) ELSE substring(d.text, 1, 100) END AS content, b.text IS NOT NULL AND length(b.text) > 200 AS enriched
+    """SELECT doc_id, sha256(CASE WHEN length(b.text) > 200 THEN substring(b.text, 1, 4000) ELSE coalesce(d.text, '') END) AS content_hash, coalesce(length(b.text) > 200, false) AS enriched
     FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id""",
 )
 def text_backfill(t: Tables):
+    """A fetched page of more than 200 characters, its first 4000, replaces the snippet."""
     fetched = t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("page"))
     good = F.coalesce(F.length("page") > 200, F.lit(False))
-    return t.documents.join(fetched, "doc_id", "left").select("doc_id", F.substring(F.when(good, F.col("page")).otherwise(F.col("text")), 1, 100).alias("content"), good.alias("enriched"))
+    content = F.when(good, F.substring("page", 1, 4000)).otherwise(F.coalesce("text", F.lit("")))
+    return t.documents.join(fetched, "doc_id", "left").select("doc_id", F.sha2(content, 256).alias("content_hash"), good.alias("enriched"))
 
 
 @query("JOI10 FLT07", f"SELECT page_id, d.suffix FROM (SELECT page_id, {HOST_SQL} AS h FROM pages) JOIN (SELECT unnest(['example.org', 'ththly.example.org', 'example.net']) AS suffix) d ON h = d.suffix OR ends_with(h, '.' || d.suffix)")
