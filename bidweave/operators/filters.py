@@ -57,22 +57,22 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50, la
     Only the rows up to the page's end are ordered (a top-k), and the total is one scalar beside them."""
     size = min(largest, size if size > 0 else 50)
     number = max(1, number)
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias("total")).scalar()
     top = df.orderBy(*order).offset((number - 1) * size).limit(size)
     placed = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)) + F.lit((number - 1) * size))
-    return placed.crossJoin(F.broadcast(total))  # one row
+    return placed.withColumn("total", total)
 
 
 def soft_filter(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows that satisfy the predicate, or all rows where none does. The answer is one scalar, found in parallel."""
-    hits = df.agg(F.count_if(predicate).alias("_hits"))
-    return df.crossJoin(F.broadcast(hits)).where(predicate | (F.col("_hits") == 0)).drop("_hits")
+    hits = df.agg(F.count_if(predicate).alias("hits")).scalar()
+    return df.where(predicate | (hits == 0))
 
 
 def with_fallback(first: DataFrame, second: DataFrame, least: int = 1) -> DataFrame:
     """The first source, with the second added where the first has fewer than ``least`` rows."""
-    short = first.limit(least).agg(F.count("*").alias("_n"))
-    return first.unionByName(second.crossJoin(F.broadcast(short)).where(F.col("_n") < least).drop("_n"))
+    found = first.limit(least).agg(F.count("*").alias("n")).scalar()
+    return first.unionByName(second.where(found < least))
 
 
 def blocked(url: str | Column, domains: Iterable[str] = BLOCKED_DOMAINS) -> Column:

@@ -24,8 +24,8 @@ def contained_place(rows: DataFrame, text: str, places: DataFrame) -> DataFrame:
 
     The first city wins at once; without one, the last state. Places are a small dimension that
     becomes one array in one row, so the test stays within each row of the text."""
-    listed = places.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("city").alias("city"), F.lower("state").alias("state"), "id"))).alias("_places"))
-    joined = rows.crossJoin(F.broadcast(listed))  # one row
+    listed = places.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("city").alias("city"), F.lower("state").alias("state"), "id"))).alias("_places")).scalar()
+    joined = rows.withColumn("_places", listed)
     hits = lambda c: F.filter("_places", lambda p: (p[c] != "") & F.contains(F.col(text), p[c]))
     chosen = F.coalesce(F.try_element_at(hits("city"), F.lit(1)), F.try_element_at(hits("state"), F.lit(-1)))
     return joined.withColumn("place_id", chosen["id"]).drop("_places")
@@ -33,9 +33,9 @@ def contained_place(rows: DataFrame, text: str, places: DataFrame) -> DataFrame:
 
 def first_match(rows: DataFrame, host: str, portals: DataFrame, default: str) -> DataFrame:
     """The first portal (ordinal, domain, name) whose domain a host contains, else the default."""
-    listed = portals.agg(F.array_sort(F.collect_list(F.struct("ordinal", "domain", "name"))).alias("_portals"))
+    listed = portals.agg(F.array_sort(F.collect_list(F.struct("ordinal", "domain", "name"))).alias("_portals")).scalar()
     hit = F.try_element_at(F.filter("_portals", lambda p: F.contains(F.col(host), p["domain"])), F.lit(1))
-    return rows.crossJoin(F.broadcast(listed)).withColumn("portal", F.coalesce(hit["name"], F.lit(default))).drop("_portals")
+    return rows.withColumn("_portals", listed).withColumn("portal", F.coalesce(hit["name"], F.lit(default))).drop("_portals")
 
 
 def labelled(rows: DataFrame, code: str, labels: DataFrame, default: str) -> DataFrame:

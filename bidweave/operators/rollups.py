@@ -34,8 +34,8 @@ def top_sums(df: DataFrame, keys: list[str], amount: str, n: int) -> DataFrame:
 def percent_split(df: DataFrame, label: Column, amount: Column, name: str = "label") -> DataFrame:
     """Sum and rounded share of each label; labels without an amount go, and all go where the total isn't positive."""
     sums = df.groupBy(label.alias(name)).agg(F.sum(cents(F.coalesce(amount, F.lit(0.0)))).alias("amount"))
-    total = sums.agg(F.sum("amount").alias("_total"))
-    out = sums.crossJoin(F.broadcast(total)).where((F.col("_total") > 0) & (F.col("amount") > 0))  # one row
+    total = sums.agg(F.sum("amount").alias("total")).scalar()
+    out = sums.withColumn("_total", total).where((F.col("_total") > 0) & (F.col("amount") > 0))
     return out.select(name, "amount", F.floor(F.col("amount").cast("double") / F.col("_total").cast("double") * 100 + 0.5).cast("int").alias("pct"))
 
 

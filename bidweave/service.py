@@ -139,9 +139,9 @@ def fetched(opportunities: DataFrame, canonical: DataFrame, as_of: Column, keywo
     keyed = incoming.where("notice_id is not null")
     state = merge.upserted(opportunities.where("notice_id is not null"), keyed, "notice_id", keep=["created_at"])
     out = state.select(*opportunities.columns).unionByName(opportunities.where("notice_id is null")).unionByName(incoming.where("notice_id is null"))
-    known = keyed.join(opportunities.select("notice_id"), "notice_id", "left_semi").agg(F.count("*").alias("updated"))
-    stats = canonical.agg(F.count("*").alias("fetched")).crossJoin(incoming.agg(F.count("*").alias("kept"))).crossJoin(known)
-    return out, stats.select("fetched", (F.col("kept") - F.col("updated")).alias("created"), "updated", (F.col("fetched") - F.col("kept")).alias("skipped"))
+    known = keyed.join(opportunities.select("notice_id"), "notice_id", "left_semi").agg(F.count("*").alias("n")).scalar()
+    stats = canonical.agg(F.count("*").alias("fetched")).withColumns({"_kept": incoming.agg(F.count("*").alias("n")).scalar(), "updated": known})
+    return out, stats.select("fetched", (F.col("_kept") - F.col("updated")).alias("created"), "updated", (F.col("fetched") - F.col("_kept")).alias("skipped"))
 
 
 @route("POST /opportunities/import")
@@ -149,7 +149,7 @@ def imported(opportunities: DataFrame, rows: DataFrame, line: str, as_of: Column
     """The new state, the rejected rows and (imported, skipped)."""
     good, bad = csv_import.to_records(rows, line, as_of)
     fresh = csv_import.new_notices(good, opportunities)
-    counts = fresh.agg(F.count("*").alias("imported")).crossJoin(rows.agg(F.count("*").alias("_all"))).select("imported", (F.col("_all") - F.col("imported")).alias("skipped"))
+    counts = fresh.agg(F.count("*").alias("imported")).withColumn("skipped", rows.agg(F.count("*").alias("n")).scalar() - F.col("imported"))
     return opportunities.unionByName(shaped(fresh.withColumn("id", new_id()), "opportunities", as_of)), bad, counts
 
 

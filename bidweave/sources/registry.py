@@ -102,11 +102,15 @@ def seeded(state: DataFrame, seed: DataFrame, key: str) -> DataFrame:
 
 
 def expanded(templates: DataFrame, dimension: DataFrame, template: str, marks: dict[str, str]) -> DataFrame:
-    """Every template for every row of a small dimension, with the marks replaced by its columns."""
+    """Every template for every row of a dimension, with the marks replaced by its columns.
+
+    The templates, a few by nature, are one array beside each row of the dimension."""
+    listed = templates.agg(F.collect_list(F.struct(*templates.columns)).alias("t")).scalar()
+    rows = dimension.withColumn("_t", F.explode(listed)).select(*dimension.columns, "_t.*")
     text: Column = F.col(template)
     for mark, column in marks.items():
         text = F.replace(text, F.lit(mark), F.col(column))
-    return templates.crossJoin(F.broadcast(dimension)).withColumn("query", text)
+    return rows.withColumn("query", text)
 
 
 def setting(db: DataFrame, env: DataFrame) -> DataFrame:
