@@ -81,6 +81,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, string_split(t, ' ') AS w FROM (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM toks)
+), sets AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS s, count(*) AS q FROM grams GROUP BY doc_id),
+nodes AS (SELECT s, min(doc_id) AS node, count(*) AS n_copies, any_value(q) AS q FROM sets GROUP BY s),
+own AS (SELECT node, q, g FROM nodes JOIN grams ON doc_id = node),
+likes AS (
+  SELECT a.node AS x, b.node AS y FROM own a JOIN own b ON a.g = b.g AND a.node < b.node
+  GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.q) + any_value(b.q) - count(*)) - 1e-9
+), ways AS (SELECT x, y FROM likes UNION ALL SELECT y, x FROM likes),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT reach.a, ways.y FROM reach JOIN ways ON reach.b = ways.x),
+classes AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT x AS node, count(*) AS n FROM ways GROUP BY x)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN nodes USING (s) LEFT JOIN classes USING (node) LEFT JOIN links USING (node)
+"""
+
 OP5_SQL = r"""
 WITH norm AS (
   SELECT 0 AS kind, doc_id AS id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents
@@ -129,4 +148,4 @@ def queries() -> dict[str, QueryFunction]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL}
