@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import os
 import tempfile
 import zipfile
@@ -103,14 +102,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
-
-    It does so by itself when the driver collects its garbage, which on an idle driver may take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
