@@ -12,17 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidweave.llm.byte_bpe import LETTER, NUMBER, classes
 from bidweave.llm.common import cut_lineage, prepare, sliced
 from bidweave.llm.components import connected, loose
 
@@ -32,7 +31,6 @@ CHUNK = 256
 DENSE = 4
 #: A table of ids is broadcast only if it was counted to have no more rows than this (8 bytes each).
 BROADCAST_ROWS = 200_000
-WORD = re.compile(r"[^\W_]+")
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -48,23 +46,36 @@ def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int,
     return best
 
 
-class _Words(dict):
-    """Hashes of words, kept up to a bound; emptying the store costs time only."""
+@lru_cache(1)
+def _of_words() -> np.ndarray:
+    """For every code point, whether words consist of it: letters and digits."""
+    kinds = classes()
+    return (kinds == LETTER) | (kinds == NUMBER)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
 
-
-_WORDS = _Words()
+@lru_cache(32)
+def _powers(count: int) -> np.ndarray:
+    base = np.full(count, np.uint64(0x9E3779B97F4A7C15))
+    base[0] = 1
+    return np.cumprod(base)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the lower-case words of a text: runs of letters and digits."""
-    found = WORD.findall(text.lower())
-    return np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    """64-bit hashes of the lower-case words of a text: runs of letters and digits, in order.
+
+    Polynomials in the code points, summed over all words at once."""
+    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    inside = _of_words()[points]
+    steps = np.diff(inside.view(np.int8), prepend=0, append=0)
+    starts = np.flatnonzero(steps == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = np.flatnonzero(steps == -1) - starts
+    firsts = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    powers = _powers(1 << int(lengths.max()).bit_length())
+    terms = (points[inside].astype(np.uint64) + np.uint64(1)) * powers[place]
+    return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,14 +2,20 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from bidweave.llm import exact_dedup, ngram_join, substring_dedup
 from bidweave.llm.components import connected
-from bidweave.llm.ngram_join import WORD, shingles
+from bidweave.llm.ngram_join import shingles, word_hashes
+
+#: The words that operators see, as a pattern.
+WORD = re.compile(r"[^\W_]+")
 
 
 def words(rng, n, vocabulary=2000):
@@ -206,3 +212,12 @@ def test_chain_prefers_the_collinear_matches():
     best, other = substring_dedup.chains(xs, ys, reach=15)
     assert best == [(0, 100, 25), (40, 141, 15)] and other == [(25, 7, 5)]
     assert substring_dedup.chains(np.array([0, 500]), np.array([0, 500]), reach=15) == [[(0, 0, 5)], [(500, 500, 5)]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "b", "é", "1", "٣", "日", "😀", " ", "_", "-", "\n", "A", "Z", "x" * 70, "\0", "ǅ", "İ", "½"]), max_size=25).map("".join) | st.text(max_size=40))
+def test_words_are_those_of_the_pattern(text):
+    found = WORD.findall(text.lower())
+    hashes = word_hashes(text).tolist()
+    assert len(hashes) == len(found)
+    assert len(set(hashes)) == len(set(found)) == len(set(zip(found, hashes)))
