@@ -205,6 +205,11 @@ def test_passages_edges(documents, edges):
     assert passages_of(documents([(d, t) for d, t in edges if d != 11])) == []
     twice = "alpha beta gamma delta " * 40
     assert {r["doc_id"] for r in passages_of(documents([(1, twice), (2, twice), (2, twice), (None, twice)]))} == {2}
+    rng = random.Random(3)
+    shared, other = words(rng, 90), words(rng, 60)
+    mixed = [(1, " ".join(shared)), (1, " ".join(other)), (2, " ".join(words(rng, 70) + shared)), (2, "short text"), (2, " ".join(other[:55]))]
+    out = passages_of(documents(mixed))
+    assert {(r["doc_id"], r["source_id"]) for r in out} == {(2, 1)} and max(r["n_words"] for r in out) == 90
 
 
 def test_chain_prefers_the_collinear_matches():
