@@ -242,8 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = sets.where("node is not null").select("node", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
     members = cut_lineage(banded.select("node", "band", loose("key").alias("key")).join(buckets.select("band", loose("key").alias("key"), "n", "head"), ["band", "key"]))
-    candidates = connected(members.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    labels = candidates.select("node", F.col("label").alias("comp"))
+    # Every node goes to the least of its buckets' heads (one a band at most), so only heads are left to connect.
+    least = cut_lineage(members.groupBy("node").agg(F.min("head").alias("m"), F.collect_set("head").alias("heads")))
+    among = connected(least.select(F.col("m").alias("a"), F.explode("heads").alias("b")))
+    moved = among.where("label <> node").select(F.col("node").alias("_from"), F.col("label").alias("_to"))
+    labels = least.select("node", loose("m").alias("m")).join(moved.withColumn("_from", loose("_from")), F.col("m") == F.col("_from"), "left")
+    labels = cut_lineage(labels.select("node", F.coalesce("_to", "m").alias("comp")))
 
     # Blocks: of a candidate component where it is small or dense, else of its buckets.
     work = members.where("node = head").select("head", "n").join(labels, F.col("head") == F.col("node")).groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
