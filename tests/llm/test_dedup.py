@@ -200,6 +200,24 @@ def test_fuzzy_passage_is_found_and_short_ones_are_not(documents):
     assert out[0]["n_words"] >= 110 and 0.9 < out[0]["identity"] < 1
 
 
+@pytest.mark.parametrize(("n", "between"), [(60, 100), (100, 60), (100, 200)])
+def test_passages_with_other_text_between_are_both_found(documents, n, between):
+    rng = random.Random(n + between)
+    one, two = words(rng, n, 10**6), words(rng, n, 10**6)
+    rows = [(d, " ".join(words(rng, 30, 10**6) + one + words(rng, between, 10**6) + two + words(rng, 30, 10**6))) for d in (1, 2)]
+    out = passages_of(documents(rows))
+    assert sorted((r["start_word"], r["end_word"], r["identity"]) for r in out) == [(30, 30 + n, 1.0), (30 + n + between, 30 + 2 * n + between, 1.0)]
+
+
+def test_large_gaps_are_aligned_in_halves(monkeypatch):
+    rng = random.Random(6)
+    a, b = (np.array([rng.randrange(12) for _ in range(n)]) for n in (70, 90))
+    whole = len(substring_dedup._common(a, b)[0])
+    monkeypatch.setattr(substring_dedup, "CELLS", 50)
+    xs, ys = substring_dedup._common(a, b)
+    assert len(xs) == whole and (a[xs] == b[ys]).all() and (np.diff(xs) > 0).all() and (np.diff(ys) > 0).all()
+
+
 def test_passages_edges(documents, edges):
     assert passages_of(documents([])) == []
     assert passages_of(documents([(d, t) for d, t in edges if d != 11])) == []
