@@ -209,6 +209,51 @@ def test_passages_with_other_text_between_are_both_found(documents, n, between):
     assert sorted((r["start_word"], r["end_word"], r["identity"]) for r in out) == [(30, 30 + n, 1.0), (30 + n + between, 30 + 2 * n + between, 1.0)]
 
 
+def has_passage(a, b, least=50, identity=0.8):
+    """By brute force: a stretch of least words on one diagonal, with words of identity in place."""
+    for shift in range(-len(b), len(a)):
+        same = [0]
+        for i in range(len(a)):
+            same.append(same[-1] + (0 <= i - shift < len(b) and a[i] == b[i - shift]))
+        for i in range(len(a) - least + 1):
+            if any(same[j] - same[i] >= identity * (j - i) - 1e-9 for j in range(i + least, len(a) + 1)):
+                return True
+    return False
+
+
+def changed_passages(rng, trials):
+    """(words of one text, words of another) with a passage of 50 to 80 words in common of which 5 to 15 % are changed."""
+    for _ in range(trials):
+        base, share = words(rng, rng.randint(50, 80), 10**6), rng.choice([0.05, 0.1, 0.15])
+        other = list(base)
+        for i in rng.sample(range(len(base)), round(share * len(base))):
+            other[i] = f"x{rng.randrange(10**6)}"
+        yield tuple(words(rng, 30, 10**6) + p + words(rng, 30, 10**6) for p in (base, other))
+
+
+def test_alignment_goes_on_through_changed_words():
+    """From the longest unchanged run alone, every passage is found that brute force finds."""
+    rng = random.Random(21)
+    pairs = list(changed_passages(rng, 40))
+    texts, aligned = [], []
+    for a, b in pairs:
+        x, y = (np.array([hash(w) & 0xFFFFFFFF for w in t], np.uint32) for t in (a, b))
+        same = np.flatnonzero(x[: min(len(x), len(y))] == y[: min(len(x), len(y))])
+        runs = np.split(same, np.flatnonzero(np.diff(same) != 1) + 1)
+        run = max(runs, key=len)
+        texts.append((x, y))
+        aligned.append(substring_dedup.align(x, y, [(int(run[0]), int(run[0]), len(run))]))
+    found = [bool(substring_dedup.parts(xs, ys, 50, 0.8)) for xs, ys in substring_dedup.extended(aligned, texts)]
+    assert found == [has_passage(a, b) for a, b in pairs] and sum(found) > 30
+
+
+def test_alignment_goes_on_through_skipped_words():
+    x, y = np.arange(60, dtype=np.uint32), np.delete(np.arange(60, dtype=np.uint32), [8, 20, 45])
+    (xs, ys), = substring_dedup.extended([substring_dedup.align(x, y, [(25, 23, 10)])], [(x, y)])
+    assert (x[xs] == y[ys]).all() and len(xs) == 57
+    assert substring_dedup.parts(xs, ys, 50, 0.8) == [(0, 60, 0, 57, 0.95)]
+
+
 def test_large_gaps_are_aligned_in_halves(monkeypatch):
     rng = random.Random(6)
     a, b = (np.array([rng.randrange(12) for _ in range(n)]) for n in (70, 90))
