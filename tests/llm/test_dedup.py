@@ -254,6 +254,26 @@ def test_alignment_goes_on_through_skipped_words():
     assert substring_dedup.parts(xs, ys, 50, 0.8) == [(0, 60, 0, 57, 0.95)]
 
 
+def test_passage_whose_pieces_came_first_in_other_documents_is_found(documents):
+    rng = random.Random(31)
+    rows, want = [], set()
+    for case in range(20):
+        joined, i = words(rng, 60, 10**6), 10 * case
+        for d, piece in ((1, joined[:30]), (2, joined[30:]), (3, joined), (4, joined)):
+            rows.append((i + d, " ".join(words(rng, 40, 10**6) + piece + words(rng, 40, 10**6))))
+        want.add((i + 4, i + 3, 40, 100, 1.0))
+    got = {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["identity"]) for r in passages_of(documents(rows))}
+    assert got == want
+
+
+def test_recall_of_changed_passages(documents):
+    rng = random.Random(41)
+    pairs = list(changed_passages(rng, 120))
+    rows = [(2 * i + j, " ".join(t)) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {(r["doc_id"], r["source_id"]) for r in passages_of(documents(rows))}
+    assert got == {(2 * i + 1, 2 * i) for i, (a, b) in enumerate(pairs) if has_passage(a, b)}
+
+
 def test_large_gaps_are_aligned_in_halves(monkeypatch):
     rng = random.Random(6)
     a, b = (np.array([rng.randrange(12) for _ in range(n)]) for n in (70, 90))
