@@ -213,17 +213,18 @@ def host_of(url: str | None) -> str:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        hosts, tokens, counts, places = [], [], [], []
+        hosts, contents, tokens, counts, places = [], [], [], [], []
         for url, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             page = Page(source or "")
             own: dict[int, list[int]] = {}
             for i, token in enumerate(page.tokens()):
                 own.setdefault(token, [0, i])[0] += 1
             hosts.append(host_of(url))
+            contents.append(xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) - (1 << 63))
             tokens.append(list(own))
             counts.append([c for c, _ in own.values()])
             places.append([p for _, p in own.values()])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], ["_id", "host", "token", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], ["host", "page", "token", "n", "at"])
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -232,8 +233,9 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     The tokens that a host can have here are bounded by a page's tokens over LEAST_SHARE."""
     prepare(pages.sparkSession)
     taken = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
-    seen = taken.mapInArrow(_tokens, "_id string, host string, token array<bigint>, n array<int>, at array<int>")
-    each = seen.select("host", F.xxhash64("_id").alias("page"), F.explode(F.arrays_zip("token", "n", "at")).alias("t")).select("host", "page", "t.*")
+    # A host's copies of one page are one page: they agree by being copies, not by a template.
+    seen = taken.mapInArrow(_tokens, "host string, page bigint, token array<bigint>, n array<int>, at array<int>").dropDuplicates(["host", "page"])
+    each = seen.select("host", "page", F.explode(F.arrays_zip("token", "n", "at")).alias("t")).select("host", "page", "t.*")
     vectors = each.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("times"), F.avg("at").alias("at"))
     often = cut_lineage(vectors.where(F.col("pages") >= LEAST_PAGES))
     hosts = often.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all_pages"))

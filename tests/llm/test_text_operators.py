@@ -154,6 +154,13 @@ def test_template_of_a_host_is_left_out(spark):
     assert not any(t.startswith("Welcome") for i, t in out.items() if i != 20)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div><p>Story %s</p><p>goes on</p></div></body></html>"
+    rows = [(i, "https://copies.example/", page % "one") for i in range(3)] + [(3, "https://copies.example/", page % "two")] + [(10 + i, "https://alone.example/", page % "three") for i in range(5)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Story {'one' if i < 3 else 'two' if i == 3 else 'three'}\ngoes on" for i in out} and len(out) == 9
+
+
 def test_references_do_not_form_across_tags():
     assert html_extract.Page("<p>a &am<b>p;</b> &amp b &#x41;&#66;&bogus; &lt;p&gt;").text([]) == "a &amp; & b AB&bogus; <p>"
 
