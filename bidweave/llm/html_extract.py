@@ -1,12 +1,12 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A token of a page is an opening tag with its path of ancestors, or the text of a place
-outside the article with its path. Tokens of a host's pages that occur equally often in every
+with its path. Tokens of a host's pages that occur equally often in every
 page form an equivalence class; a class that is large, frequent and, in a page, in its
 usual order is valid there. Valid classes, nested by their paths, are the host's template: their texts are
 boilerplate. What the template leaves open are slots; a slot is judged by the path that
 the template gives it (menus, headers, adverts, forms and so on are left out), and the
-article's slots are the result.
+slots of the article and of the main place are the result.
 
 Occurrence vectors are never gathered: the vector of a token is represented by the exclusive or of
 hash(page, count) over its pages, so classes come from one aggregation with partial results
@@ -156,17 +156,24 @@ class Page:
         self._flush(place, path)
 
     def tokens(self) -> list[int]:
-        """All tokens of the template's kind: tags, and texts outside the article."""
-        return [PAGE, *self.tags, *(token for place, _, token in self.blocks if place != ARTICLE)]
+        """All tokens: tags, and texts."""
+        return [PAGE, *self._in_order()]
+
+    def content(self) -> int:
+        """A hash of the page's texts: pages of the same texts are copies."""
+        return _token(ROOT, "\n".join(f"{place}{text}" for place, text, _ in self.blocks))
 
     def text(self, classes: list[list[int]]) -> str:
-        """The article, or where none is marked, the main place, or else the body's slots."""
+        """What the template leaves open of the article and of the main place that holds it. The rest of the
+        body is taken too where it has more text than these. A marked place that is template as a whole is kept."""
+        boilerplate = self.template(classes) if self.blocks else set()
+        own = [x for x in self.blocks if x[2] not in boilerplate]
         best = max((place for place, _, _ in self.blocks), default=BODY)
-        kept = [(text, token) for place, text, token in self.blocks if place == best]
-        if best != ARTICLE:
-            boilerplate = self.template(classes)
-            kept = [x for x in kept if x[1] not in boilerplate]
-        return "\n".join(text for text, _ in kept)
+        if best != BODY and not any(place == best for place, _, _ in own):
+            own = [x for x in self.blocks if x[0] == best or x[2] not in boilerplate]
+        size = [sum(len(text) for place, text, _ in own if place == p) for p in (BODY, MAIN, ARTICLE)]
+        least = BODY if size[0] > size[1] + size[2] else MAIN
+        return "\n".join(text for place, text, _ in own if place >= least)
 
     def template(self, classes: list[list[int]]) -> set[int]:
         """Tokens of the classes that are valid on this page: all there, in their usual order, and nested,
@@ -220,7 +227,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, token in enumerate(page.tokens()):
                 own.setdefault(token, [0, i])[0] += 1
             hosts.append(host_of(url))
-            contents.append(xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) - (1 << 63))
+            contents.append(page.content())
             tokens.append(list(own))
             counts.append([c for c, _ in own.values()])
             places.append([p for _, p in own.values()])

@@ -154,6 +154,17 @@ def test_template_of_a_host_is_left_out(spark):
     assert not any(t.startswith("Welcome") for i, t in out.items() if i != 20)
 
 
+def test_teasers_do_not_replace_the_story_and_templates_reach_into_articles(spark):
+    story = "<html><body><main><p>Story %d is told</p><p>and told %d</p><article class='card'>teaser %d</article></main></body></html>"
+    inner = "<html><body><article><p>Text %d</p><p class='zz'>Read us daily</p><p class='yy'>All the news</p></article></body></html>"
+    rows = [(i, "https://main.example/", story % (i, i, i)) for i in range(4)] + [(10 + i, "https://inner.example/", inner % i) for i in range(4)]
+    rows.append((20, "https://body.example/", "<body><div><p>A long story in the body</p></div><article>teaser</article></body>"))
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(4)] == [f"Story {i} is told\nand told {i}\nteaser {i}" for i in range(4)]
+    assert [out[10 + i] for i in range(4)] == [f"Text {i}" for i in range(4)]
+    assert out[20] == "A long story in the body\nteaser"
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = "<html><body><div><p>Story %s</p><p>goes on</p></div></body></html>"
     rows = [(i, "https://copies.example/", page % "one") for i in range(3)] + [(3, "https://copies.example/", page % "two")] + [(10 + i, "https://alone.example/", page % "three") for i in range(5)]
