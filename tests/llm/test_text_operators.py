@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -172,13 +173,70 @@ def test_copies_of_a_page_are_no_template(spark):
     assert out == {i: f"Story {'one' if i < 3 else 'two' if i == 3 else 'three'}\ngoes on" for i in out} and len(out) == 9
 
 
+def brute_templates(pages):
+    """Occurrence vectors of all tokens written out, and tokens of equal vectors put together."""
+    hosts = defaultdict(dict)
+    for url, source in pages:
+        page = html_extract.Page(source)
+        hosts[url.split("/")[2]][page.content()] = page.tokens()
+    found = {}
+    for host, own in hosts.items():
+        vectors, classes = defaultdict(list), defaultdict(list)
+        for content in sorted(own):
+            for token, (_, _, n, at, chars) in own[content].items():
+                vectors[token].append((content, n, at, chars))
+        for token, v in vectors.items():
+            if len(v) >= html_extract.LEAST_PAGES and len(v) >= html_extract.LEAST_SHARE * len(own):
+                classes[tuple((c, n) for c, n, _, _ in v)].append((sum(at for _, _, at, _ in v) / len(v), token, sum(x for _, _, _, x in v)))
+        found[host] = sorted(sorted(c) for c in classes.values() if len(c) >= html_extract.LEAST_TOKENS)
+    return {h: c for h, c in found.items() if c}
+
+
+def some_pages():
+    import duckdb
+
+    return duckdb.sql("SELECT page_id, url, coalesce(html, '') FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+
+
+def test_templates_against_brute_force(spark):
+    pages = [(u, h) for _, u, h in some_pages()]
+    want = brute_templates(pages)
+    frame = spark.createDataFrame(pages + pages[:50], "url string, html string").repartition(5)
+    got = {r["host"]: sorted([(t["at"], t["token"], t["chars"]) for t in c] for c in r["classes"]) for r in html_extract.templates(frame).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_the_template_names_the_article(spark):
+    """Without marks and names, the host's template tells the article from adverts, menus and footers."""
+    pages = some_pages()
+    marked = {i: html_extract.Page("<article>" + re.search(r"<article>(.*)</article>", h, re.S)[1] + "</article>").text() for i, _, h in pages}
+    bare = lambda h: re.sub(r"<(/?)(article|nav|footer|header|main|aside)>", r"<\1div>", re.sub(r' (class|id)="[^"]*"', "", h))
+    loose = lambda h: re.sub(r' (class|id)="[^"]*"', "", re.sub(r"</?article>", "", h))
+    for strip, least in ((lambda h: h, 1.0), (bare, 0.98), (loose, 0.85)):
+        rows = [(i, u, strip(h)) for i, u, h in pages]
+        out = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert sum(out[i] == marked[i] for i in out) >= least * len(out)
+        assert all(set(marked[i].split("\n")) <= set(out[i].split("\n")) for i in out)
+        alone = {i: html_extract.Page(h).text() for i, _, h in rows}
+        assert (sum(alone[i] != out[i] for i in out) > 0) == (least < 1)
+
+
+@pytest.mark.parametrize("source", ["<a ", "<b>", "</i>", '<a title="', "<p>", "<span><h1></h1>", "<!--", "&", "<", "</", "<a ='\"", "<li><ul>", "<td><div>"])
+def test_hostile_markup_takes_linear_time(source):
+    before = time.time()
+    page = html_extract.Page(source * 60_000 + "</p>" * 60_000)
+    page.text()
+    page.tokens()
+    assert time.time() - before < 10
+
+
 def test_references_do_not_form_across_tags():
-    assert html_extract.Page("<p>a &am<b>p;</b> &amp b &#x41;&#66;&bogus; &lt;p&gt;").text([]) == "a &amp; & b AB&bogus; <p>"
+    assert html_extract.Page("<p>a &am<b>p;</b> &amp b &#x41;&#66;&bogus; &lt;p&gt;").text() == "a &amp; & b AB&bogus; <p>"
 
 
 @pytest.mark.parametrize("source", ["<p", "<", "a < b > c", "<p>x</div></p></p>", "<!-- open", "<script>never closed", "<table><tr><td>a<td>b<tr><td>c</table>", "<p>" * 3000, "<div hidden>h</div>z", "<b>" + "y" * 100_000])
 def test_broken_markup_does_not_stop(source):
-    text = html_extract.Page(source).text([])
+    text = html_extract.Page(source).text()
     assert "\n\n" not in text and text == text.strip()
 
 
