@@ -243,13 +243,13 @@ def test_alignment_goes_on_through_changed_words():
         run = max(runs, key=len)
         texts.append((x, y))
         aligned.append(substring_dedup.align(x, y, [(int(run[0]), int(run[0]), len(run))]))
-    found = [bool(substring_dedup.parts(xs, ys, 50, 0.8)) for xs, ys in substring_dedup.extended(aligned, texts)]
+    found = [bool(substring_dedup.parts(xs, ys, 50, 0.8)) for xs, ys, _, _ in substring_dedup.extended(aligned, texts)]
     assert found == [has_passage(a, b) for a, b in pairs] and sum(found) > 30
 
 
 def test_alignment_goes_on_through_skipped_words():
     x, y = np.arange(60, dtype=np.uint32), np.delete(np.arange(60, dtype=np.uint32), [8, 20, 45])
-    (xs, ys), = substring_dedup.extended([substring_dedup.align(x, y, [(25, 23, 10)])], [(x, y)])
+    (xs, ys, _, _), = substring_dedup.extended([substring_dedup.align(x, y, [(25, 23, 10)])], [(x, y)])
     assert (x[xs] == y[ys]).all() and len(xs) == 57
     assert substring_dedup.parts(xs, ys, 50, 0.8) == [(0, 60, 0, 57, 0.95)]
 
@@ -266,6 +266,28 @@ def test_passage_whose_pieces_came_first_in_other_documents_is_found(documents):
     assert got == want
 
 
+@pytest.mark.parametrize("after", [False, True])
+def test_passage_that_came_earlier_in_scattered_bits_is_found_whole(documents, after):
+    """Bits of 14 words that overlap came before (and between) the two documents that share 200 words."""
+    rng = random.Random(51)
+    passage = words(rng, 200, 10**6)
+    bits = lambda base: [(base + i, " ".join(words(rng, 40, 10**6) + passage[6 * i : 6 * i + 14] + words(rng, 40, 10**6))) for i in range(32)]
+    whole = lambda d: (d, " ".join(words(rng, 80, 10**6) + passage + words(rng, 80, 10**6)))
+    rows = bits(0) + [whole(1000), *(bits(1100) if after else []), whole(2000)]
+    out = passages_of(documents(rows))
+    assert [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"], r["source_start"]) for r in out] == [(2000, 1000, 80, 280, 80)]
+
+
+def test_long_passages_are_extended_as_far_as_words_match(documents):
+    """All but a few words of a long passage came first elsewhere, so one seed must do for a thousand words."""
+    rng = random.Random(52)
+    passage = words(rng, 1000, 10**6)
+    rows = [(i, " ".join(passage[40 * i : 40 * i + 45] + words(rng, 30, 10**6))) for i in range(25) if i != 12]
+    rows += [(d, " ".join(words(rng, 20, 10**6) + passage + words(rng, 20, 10**6))) for d in (100, 200)]
+    out = passages_of(documents(rows))
+    assert (200, 100, 20, 1020) in {(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in out}
+
+
 def test_recall_of_changed_passages(documents):
     rng = random.Random(41)
     pairs = list(changed_passages(rng, 120))
