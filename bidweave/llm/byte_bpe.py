@@ -29,6 +29,10 @@ SEP, LETTER, NUMBER, SPACE, WHITE, OTHER = range(6)
 #: Code points that are white space beside the blank (fixed values of the Unicode property White_Space).
 WHITE_SPACE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+#: What Unicode 16, which the library's patterns follow, has beyond the edition that Python knows.
+NEWER_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+NEWER_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+
 # States: between tokens; inside letters, numbers, others, white space; after a blank that
 # the next token takes along; two characters or one to go inside a contraction.
 FREE, IN_L, IN_N, IN_O, IN_W, PENDING, TWO, ONE = range(8)
@@ -99,6 +103,10 @@ def classes() -> np.ndarray:
     major = np.frombuffer(kinds.encode("ascii"), np.uint8)
     out[major == ord("L")] = LETTER
     out[major == ord("N")] = NUMBER
+    for ranges, kind in ((NEWER_LETTERS, LETTER), (NEWER_NUMBERS, NUMBER)):
+        for found in ranges.split():
+            first, _, last = found.partition("-")
+            out[int(first, 16) : int(last or first, 16) + 1] = kind
     out[WHITE_SPACE] = WHITE
     out[ord(" ")] = SPACE
     return out

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -87,21 +88,48 @@ def shared_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def _checkpoint_root(spark: SparkSession) -> str:
+    folder = shared_dir(spark)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.sparkContext._jvm.System.getProperty("java.io.tmpdir") + "/bidweave-checkpoints"
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    Where the session names no folder (local tests), one under java.io.tmpdir is set."""
+    Where the session names no folder (local tests), one under java.io.tmpdir is set. The files stay until the
+    session's cleaner (spark.cleaner.referenceTracking.cleanCheckpoints) or ``checkpoints_in`` removes them."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = shared_dir(df.sparkSession)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = context._jvm.System.getProperty("java.io.tmpdir") + "/bidweave-checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, root: str | None = None) -> str:
+    """A folder of its own for the tables of one run."""
+    return root or f"{_checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def checkpoints_in(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Checkpoints made inside go to the folder and are removed at the end; no frame made inside may be used afterwards."""
+    context = spark.sparkContext
+    context.setCheckpointDir(folder)
+    try:
+        yield
+    finally:
+        context.setCheckpointDir(_checkpoint_root(spark))
+        remove(spark, folder)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -116,16 +144,24 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of a text, in order; none for null. JVM expressions only."""
-    trimmed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
+    """Lower-case words of a text, in order; none for null. JVM expressions only, linear in the text."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
 #: Ids are broadcast only if they were counted to be no more than this (8 bytes each).
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id isn't among ``ids`` (one column). Rows with a null id stay."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, row): the whole row in one column, so that no name of it can clash, and an id for each row.
+
+    Rows without an id get one below zero from their text, so that decisions about them take effect; those of equal texts share it."""
+    made = F.xxhash64(F.lit("no id"), text_or_empty(text_col)).bitwiseOR(F.lit(-(1 << 63)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), made).alias("doc_id"), F.col(text_col).alias("text"), whole.alias("row"))
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole rows of keyed ``rows`` whose id isn't among ``ids`` (one column)."""
     out = cut_lineage(ids.toDF("_gone").where("_gone is not null").distinct())
-    return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, F.col(id_col) == F.col("_gone"), "left_anti")
+    return rows.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, F.col("doc_id") == F.col("_gone"), "left_anti").select("row.*")

@@ -38,12 +38,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs``, with all columns, of which one stays for each text: that with the smallest (or largest) id.
-
-    Null counts as the empty text and stays null only if the kept row has it so. Rows that
-    repeat an id and text are one; further columns decide then, in their order. A null id is the smallest."""
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("_row"), text_or_empty(text_col).alias("_text"))
-    best = rows.groupBy(F.md5("_text").alias("_h"), "_text").agg((F.min if keep == "smallest" else F.max)("_row").alias("_row"))
-    columns = {id_col: F.col("_row.id"), text_col: F.when(~F.col("_row.none"), F.col("_text"))} | {c: F.col(f"_row.c{i}") for i, c in enumerate(rest)}
-    return best.select(*[columns[c].alias(c) for c in docs.columns])
+    """The rows of ``docs``, with all columns of whatever types, of which one stays for each text: that with the smallest (or largest) id.
+
+    Null counts as the empty text and stays null only if the kept row has it so. Of rows that repeat an id and text,
+    null texts come first, then a hash of the other columns (all but maps, which have no order) decides. A null id is the smallest."""
+    rest = [f for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in rest]) if rest else F.lit(0)
+    rows = docs.select(
+        F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), tie.alias("tie")).alias("_order"),
+        F.struct(*[(F.col(f"`{c}`") if c != text_col else F.col(text_col).isNull()).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"),
+        text_or_empty(text_col).alias("_text"),
+    )
+    best = rows.groupBy(F.md5("_text").alias("_h"), "_text").agg((F.min_by if keep == "smallest" else F.max_by)("_row", "_order").alias("_row"))
+    part = lambda i, c: F.col("_row")[f"c{i}"] if c != text_col else F.when(~F.col("_row")[f"c{i}"], F.col("_text"))
+    return best.select(*[part(i, c).alias(c) for i, c in enumerate(docs.columns)])

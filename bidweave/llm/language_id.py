@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidweave.llm.byte_bpe import LETTER, classes
 from bidweave.llm.common import prepare, sliced, steps
@@ -37,6 +38,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BUCKETS = 1 << 16
 #: Documents of each language that are learned from, at most; the bound of the driver's work.
 PER_LANGUAGE = 400
+#: Languages that are learned, at most: those with most documents. Bounds the duels, whatever stands in the column of labels.
+MOST_LANGUAGES = 200
 #: Trigram shares are small; this factor brings margins to the order of one.
 SCALE = 30.0
 UNKNOWN = "und"
@@ -152,13 +155,14 @@ def held_out(id_col: str | Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learns from a sample of ``per_language`` rows of each language at most that aren't held out.
 
-    Rows with a null language or text are not learned from. The sample is by hash of the id, so it is the same in
+    Rows with a null language or text are not learned from, nor are languages beyond the MOST_LANGUAGES commonest. The sample is by hash of the id, so it is the same in
     every run; one pass counts the languages, another takes the rows that a hash threshold
     picks, so no language's rows are sorted or gathered. An empty sample gives a model
     that knows no language."""
     prepare(docs.sparkSession)
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    common = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
+    counts = {r[0]: r[1] for r in common.collect()}
     if not counts:
         return Model()
     share = F.lit(0.0)
@@ -217,20 +221,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     language, are ``und`` with score 0. Repeated rows each give a row; an empty table gives none."""
     prepare(docs.sparkSession)
     kept = keep or []
+    # One copy for each executor: the weights of all duels may be large.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(id_col).alias("_key"), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             langs, scores = [], []
             for a, b in steps(texts):
-                found = model.predict(texts[a:b])
+                found = known.predict(texts[a:b])
                 langs += found[0]
                 scores += found[1]
             columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[batch.column(3 + i) for i in range(len(kept))]]
             yield pa.RecordBatch.from_arrays(columns, ["_key", "held_out", "lang_pred", "score", *[f"_k{i}" for i in range(len(kept))]])
 
-    kind = lambda c: docs.schema[c].dataType.simpleString()
-    schema = ", ".join([f"_key {kind(id_col)}", "held_out boolean", "lang_pred string", "score double", *[f"_k{i} {kind(c)}" for i, c in enumerate(kept)]])
+    kinds = {"_key": docs.schema[id_col].dataType, "held_out": T.BooleanType(), "lang_pred": T.StringType(), "score": T.DoubleType()}
+    schema = T.StructType([T.StructField(n, k) for n, k in (kinds | {f"_k{i}": docs.schema[c].dataType for i, c in enumerate(kept)}).items()])
     out = picked.mapInArrow(run, schema).withColumnRenamed("_key", id_col)
     return out.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(kept)})

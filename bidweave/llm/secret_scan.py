@@ -32,22 +32,25 @@ ALLOW = [
 SPAN = "struct<start:int,ord:int,end:int>"
 
 
-def _matches(text: Column, pattern: str, group: int, least: int, order: int) -> Column:
-    """Spans of a pattern's matches whose group is long enough."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
-        F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("p"),
-    )
-    lengths = F.transform(found, lambda x: F.struct(F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m"), F.length(x["g"]).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def running(values: Column) -> Column:
+    """Sums of the values up to each place, by doubling distances; no list is grown element by element."""
+    last = F.size(values)
+    distances = F.when(last > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2(last - F.lit(0.5))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(distances, values, lambda acc, d: F.transform(acc, lambda x, i: x + F.when(i >= d, F.get(acc, i - d)).otherwise(0)))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["p"]
-        span = F.struct(here.alias("start"), F.lit(order).alias("ord"), (here + x["m"]).alias("end"))
-        return F.struct((here + x["m"]).alias("at"), F.when(x["g"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+def _placed(text: Column, pattern: str, group: int) -> Column:
+    """Matches in order: start, end, and the group. A match starts after all pieces and matches before it."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.arrays_zip(whole.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("p"))
+    # Bound once, as a one-element array, so that neither the matches nor their ends are made again.
+    bound = F.transform(F.array(found), lambda f: F.struct(f.alias("f"), running(F.transform(f, lambda x: F.length(x["p"]) + F.length(x["m"]))).alias("e")))
+    return F.flatten(F.transform(bound, lambda b: F.zip_with(b["f"], b["e"], lambda x, e: F.struct((e - F.length(x["m"])).alias("at"), e.alias("end"), x["g"].alias("g")))))
 
-    spans = F.aggregate(lengths, start, step, lambda acc: acc["out"])
+
+def _matches(text: Column, pattern: str, group: int, least: int, order: int) -> Column:
+    """Spans of a pattern's matches whose group is long enough."""
+    spans = F.transform(F.filter(_placed(text, pattern, group), lambda x: F.length(x["g"]) >= least), lambda x: F.struct(x["at"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end")))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -90,22 +93,12 @@ def window_span(s: Column, window: int, bits: float) -> Column:
 
 def _entropy_spans(text: Column, allow: list[str], order: int) -> Column:
     """Spans of the parts of candidates whose windows are random enough for their class."""
-    pieces = F.split(text, CANDIDATE, -1)
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1))
-    zipped = F.arrays_zip(F.transform(F.slice(pieces, 1, F.size(found)), lambda p: F.length(p)).alias("p"), found.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,m:string>>").alias("out"))
-    placed = F.aggregate(
-        zipped,
-        start,
-        lambda acc, x: F.struct((acc["at"] + x["p"] + F.length(x["m"])).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["p"]).alias("at"), x["m"].alias("m"))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    suspicious = F.filter(placed, lambda c: ~_any(c["m"], allow))
+    suspicious = F.filter(_placed(text, CANDIDATE, 1), lambda c: ~_any(c["g"], allow))
 
     def span(c: Column) -> Column:
         best = None
         for pattern, window, bits in CLASSES:
-            one = (c["m"].rlike(pattern), window_span(c["m"], window, bits))
+            one = (c["g"].rlike(pattern), window_span(c["g"], window, bits))
             best = F.when(*one) if best is None else best.when(*one)
         return F.struct(c["at"].alias("at"), best.alias("w"))
 

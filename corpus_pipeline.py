@@ -6,16 +6,17 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that its predecess
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bidweave.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
-from bidweave.llm.common import cut_lineage, read, without
+from bidweave.llm.common import checkpoints_in, keyed, new_folder, read, remove, without
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; null and letterless texts go. The language found replaces none of the columns."""
-    model = language_id.fit(docs)
-    seen = language_id.predict(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return seen.where(seen["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
+    rows = keyed(docs)
+    seen = language_id.predict(rows, language_id.fit(docs), keep=["row"])
+    return seen.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest id stays."""
-    classes = ngram_join.near_duplicates(docs)
-    return without(docs, classes.where("doc_id <> class_id").select("doc_id"))
+    rows = keyed(docs)
+    classes = ngram_join.near_duplicates(rows)
+    return without(rows, classes.where("doc_id <> class_id").select("doc_id"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    hits = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return without(docs, hits.select("doc_id"))
+    rows = keyed(docs)
+    hits = decontaminate.contaminated(rows, read(spark, sf_dir, "benchmark"))
+    return without(rows, hits.select("doc_id"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +55,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what a stage leaves is written to the shared folder."""
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+def run(spark: SparkSession, sf_dir: str, scratch: str | None = None) -> DataFrame:
+    """All stages over the documents of a folder. What a stage leaves is written as Parquet to a folder of this run inside
+    ``scratch`` (by default the shared folder of checkpoints); the checkpoints of its operators, and the table before it, are removed then.
+
+    The result reads the last of these tables: remove its folder when the result isn't needed any more."""
+    folder = new_folder(spark, scratch)
+    docs, last = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with checkpoints_in(spark, f"{folder}/checkpoints"):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}.parquet")
+        docs = spark.read.parquet(f"{folder}/{name}.parquet")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}.parquet"
     return STAGES[-1][1](spark, docs, sf_dir)

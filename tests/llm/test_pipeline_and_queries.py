@@ -10,6 +10,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bidweave.llm import catalog
@@ -77,3 +78,37 @@ def test_pipeline_with_nulls_and_repeats(spark):
         out = stage(spark, out, SF)
     ids = [r["doc_id"] for r in out.collect()]
     assert 1 not in ids and 2 not in ids and 3 not in ids and ids.count(4) == 1
+
+
+def test_stages_take_columns_of_any_name_and_type(spark):
+    """Also maps, which have no order, and the names that stages and operators use themselves."""
+    rows = [(i, f"the and of with house number {i % 7} and more", "en") for i in range(20)] + [(None, "a text without an id", "en"), (50, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = ["score", "lang_pred", "held_out", "_gone", "row", "_row", "_order", "_lang", "_n", "tie", "none", "_no_text", "a b", "_key", "_k0", "source", "class_id", "item"]
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).withColumn("_map", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("_list", F.array("text"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns, name
+        assert out.schema["_map"].dataType == docs.schema["_map"].dataType
+    kept = out.collect()
+    assert sorted(r["doc_id"] or 0 for r in kept) == [0, *range(13, 20)]
+    assert all(r[n] == (n + str(r["doc_id"]) if r["doc_id"] else None) and (r["doc_id"] is None or r["_map"] == {"k": r["doc_id"]}) for r in kept for n in names)
+
+
+def test_decisions_reach_rows_without_an_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    near = " ".join(f"word{i}" for i in range(100))
+    rows = [(None, item), (None, "a clean text of its own"), (None, near + " end"), (5, near)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.benchmark_stage(spark, corpus_pipeline.near_stage(spark, docs, SF), SF)
+    assert sorted(r["text"][:6] for r in left.collect()) == ["a clea", "word0 "]
+
+
+def test_checkpoints_of_a_run_are_removed(spark, tmp_path):
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    before = folder.get() if folder.isDefined() else None
+    corpus_pipeline.run(spark, SF, scratch=str(tmp_path)).count()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["decontaminate.parquet"]
+    after = spark.sparkContext._jsc.sc().getCheckpointDir()
+    assert before is None or after.get().rpartition("/")[0] == before.rpartition("/")[0]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bidweave.llm import catalog, chat_format, decontaminate, html_extract, language_id, secret_scan
+from bidweave.llm import byte_bpe, catalog, chat_format, decontaminate, html_extract, language_id, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +51,41 @@ def test_language_and_id_are_no_inputs(documents):
     assert sorted(r["lang_pred"] for r in language_id.predict(a, model).collect()) == sorted("de" if i % 2 else "en" for i, _ in rows)
 
 
+def brute_languages(model, texts):
+    """Duels fought one by one over trigrams counted one by one."""
+    out = []
+    for text in texts:
+        own = "".join(c if byte_bpe.classes()[ord(c)] == byte_bpe.LETTER else " " for c in f"\n{text.lower()}\n")
+        grams = [[ord(c) for c in own[i : i + 3]] for i in range(len(own) - 2) if sum(c != " " for c in own[i : i + 3]) >= 2]
+        at = []
+        for a, b, c in grams:
+            x = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            at.append(((x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16)
+        won = {}
+        for j, (level, left, right) in enumerate(model.duels):
+            margin = sum(float(model.weights[g, j]) for g in at) / max(1, len(at)) * language_id.SCALE + model.bias[j]
+            for name, m, w in ((left, margin, margin >= 0), (right, -margin, margin < 0)):
+                wins, total = won.get((level, name), (0, 0.0))
+                won[level, name] = (wins + w, total + m)
+        pick = lambda level, names: max(names, key=lambda n: won.get((level, n), (0, 0.0)))  # noqa: B023, E731
+        out.append(pick(family := pick("", model.families), model.members[family]) if any(c != " " for c in own) else "und")
+    return out
+
+
+def test_duels_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    rows = [(r["doc_id"], (r["text"] or "")[:2000]) for r in docs.collect()]
+    assert model.predict([t for _, t in rows])[0] == brute_languages(model, [t for _, t in rows]) and len(model.duels) > 3
+
+
+def test_languages_are_bounded_by_the_commonest(documents, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, "the and of house" if i % 2 else "der die das haus") for i in range(60)] + [(100 + i, "le la les maison") for i in range(9)]
+    model = language_id.fit(documents(rows, {i: "fr" if i >= 100 else "en" if i % 2 else "de" for i, _ in rows}))
+    assert sorted(n for names in model.members.values() for n in names) == ["de", "en"]
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
@@ -313,3 +348,15 @@ def test_op6_has_the_extra_conversation(spark):
     text = catalog.EXTRA_TEXT
     assert rows[-7]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and rows[-7]["loss_chars"] == len(text)
     assert rows[-7]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", ["-" * 1_000_000, " " * 1_000_000, "a" * 1_000_000, "deadbeef0123456789abcdef " * 30_000, "token=abcdef1 " * 30_000, "x1y2z3" * 40_000])
+def test_long_texts_take_bounded_time(documents, text):
+    """Gaps, runs and matches without number: spans, words and containment."""
+    before = time.time()
+    docs = documents([(1, text), (2, "a" + text + "b")])
+    found = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert len(found[1]["base"]) == len(base_spans(text)) and [tuple(s) for s in found[1]["base"][-3:]] == base_spans(text)[-3:]
+    items = docs.sparkSession.createDataFrame([(1, "some item of seven words to find")], "item_id long, text string")
+    assert decontaminate.contaminated(docs, items).count() == 0
+    assert time.time() - before < 60
