@@ -1,22 +1,30 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact containment.
 
-Items are short and documents may be very long, so the likeness of their signatures says
-little. Instead the signature of an item is looked up in the document's whole shingle set
-(containment MinHash): it holds the s smallest shingle hashes of the item. Items are
-partitioned by size class, and s follows from the class so that no hit can be lost: a
+Items are short and documents may be very long, so the likeness of two signatures would
+say little. Instead an item's signature, its s smallest shingle hashes, is looked up among all shingle hashes of a document
+(containment MinHash). Items are partitioned by size class, and s follows from the class so that no hit can be lost: a
 document that holds a share t of the q shingles misses q - ceil(t q) of them at most, so
-among any q - ceil(t q) + 1 it holds one. Candidates are then verified on the words themselves.
+among any q - ceil(t q) + 1 it holds one. Documents too short for a class take no part in it.
+The shingles of documents are never shuffled: signatures go to them, in passes of bounded size, and
+only hits move. Candidates are then verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.llm.common import cut_lineage, words
 
-#: A table is broadcast only if it was counted to have no more rows than this (of a few dozen bytes).
-BROADCAST_ROWS = 200_000
+#: Signature hashes that one pass over the documents looks up (8 bytes each, some 30 in a hash table).
+PASS_HASHES = 1_000_000
+#: A table is broadcast only if it was counted to have no more bytes than this.
+BROADCAST_BYTES = 64 << 20
+#: What a row of ids takes, with room to spare.
+ROW_BYTES = 64
 
 
 def _grams(tokens: Column, k: Column | int) -> Column:
@@ -49,8 +57,19 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, shingle: int, th
     return shaped.withColumn("h", F.array_sort(hashes)).select("item", "k", "grams", F.slice("h", F.lit(1), F.least(missed + 1, F.size("h"))).alias("signature"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _hits(docs: DataFrame, signature: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc, size, h): signature hashes that documents hold, with the documents' numbers of words."""
+    tokens = docs.select("doc", words(F.col("text")).alias("w")).select("doc", F.size("w").alias("size"), _word_hashes(F.col("w")).alias("hw"))
+    hashes = F.flatten(F.array(*[_gram_hashes(F.col("hw"), k) for k in sizes])) if sizes else F.array().cast("array<bigint>")
+    exploded = tokens.select("doc", "size", F.explode(hashes).alias("h"))
+    wanted = cut_lineage(signature.select("h").distinct())
+    passes = max(1, math.ceil(wanted.count() / PASS_HASHES))
+    found = [exploded.join(F.broadcast(wanted.where(F.pmod("h", F.lit(passes)) == i)), "h", "left_semi") for i in range(passes)]
+    return cut_lineage(reduce(DataFrame.unionByName, found).select("doc", "size", "h").distinct())
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -63,26 +82,25 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     best row stands for it. Repeated items are one. Empty tables give no rows. Other columns
     are left out.
 
-    The signatures and the candidates are counted and broadcast up to BROADCAST_ROWS rows;
-    beyond that they are joined by shuffling, with the same result.
+    More than PASS_HASHES signature hashes are looked up in several passes over the documents. Hits, candidates
+    and items are measured and broadcast up to BROADCAST_BYTES; beyond that they are joined by shuffling, with the same result.
     """
     parts = cut_lineage(item_shingles(items, item_id_col, item_text_col, shingle, threshold).dropDuplicates(["item", "grams"]))
     sizes = [r["k"] for r in parts.select("k").distinct().orderBy("k").collect()]  # 1 to ``shingle``: bounded
-    signature = parts.select("item", F.explode("signature").alias("h"))
-    n_signature = signature.count()
+    # The least number of words of a document that holds enough shingles of the item.
+    least = F.ceil(F.size("grams") * threshold - 1e-9).cast("int") + F.col("k") - 1
+    signature = parts.select("item", least.alias("least"), F.explode("signature").alias("h"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
-    tokens = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).select("doc", _word_hashes(F.col("w")).alias("hw"))
-    hashes = F.flatten(F.array(*[_gram_hashes(F.col("hw"), k) for k in sizes])) if sizes else F.array().cast("array<bigint>")
-    exploded = tokens.select("doc", F.explode(hashes).alias("h"))
-    if n_signature > BROADCAST_ROWS:
-        exploded = exploded.distinct()
-    pairs = cut_lineage(exploded.join(_maybe_broadcast(signature, n_signature), "h").select("doc", "item").distinct())
+    hits = _hits(texts, signature, sizes)
+    by_hash = hits.join(_maybe_broadcast(signature, signature.count() * ROW_BYTES), "h").where("size >= least")
+    pairs = cut_lineage(by_hash.select("doc", "item").distinct())
 
     wanted = pairs.select("doc").distinct()
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    hit = texts.join(_maybe_broadcast(wanted, wanted.count()), texts["doc"].eqNullSafe(wanted["doc"]), "left_semi")
-    both = hit.join(_maybe_broadcast(pairs, pairs.count()).withColumnRenamed("doc", "doc2"), F.col("doc").eqNullSafe(F.col("doc2"))).drop("doc2")
-    both = both.join(_maybe_broadcast(parts.select("item", "k", "grams"), parts.count()), "item")
+    hit = texts.join(_maybe_broadcast(wanted, wanted.count() * ROW_BYTES), texts["doc"].eqNullSafe(wanted["doc"]), "left_semi")
+    both = hit.join(_maybe_broadcast(pairs, pairs.count() * ROW_BYTES).withColumnRenamed("doc", "doc2"), F.col("doc").eqNullSafe(F.col("doc2"))).drop("doc2")
+    size = parts.agg(F.sum(F.aggregate("grams", F.lit(ROW_BYTES), lambda n, g: n + F.octet_length(g) + 16))).first()[0] or 0
+    both = both.join(_maybe_broadcast(parts.select("item", "k", "grams"), size), "item")
     # The words are a column of their own, so that they aren't split again for each shingle.
     split = both.select("doc", "item", "k", "grams", words(F.col("text")).alias("w"))
     checked = split.select("doc", "item", F.size("grams").alias("q"), F.size(F.array_intersect("grams", _grams(F.col("w"), F.col("k")))).alias("n"))

@@ -53,29 +53,45 @@ def _of_words() -> np.ndarray:
     return (kinds == LETTER) | (kinds == NUMBER)
 
 
-@lru_cache(32)
-def _powers(count: int) -> np.ndarray:
-    base = np.full(count, np.uint64(0x9E3779B97F4A7C15))
-    base[0] = 1
-    return np.cumprod(base)
+@lru_cache(1)
+def _of_bytes() -> bytes:
+    return _of_words()[:256].tobytes()
+
+
+#: Base of the words' polynomials, and its inverse among 64-bit numbers.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@lru_cache(64)
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out)
 
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the lower-case words of a text: runs of letters and digits, in order.
 
-    Polynomials in the code points, summed over all words at once."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    inside = _of_words()[points]
-    steps = np.diff(inside.view(np.int8), prepend=0, append=0)
-    starts = np.flatnonzero(steps == 1)
-    if not len(starts):
+    Polynomials in the code points, as differences of one running sum over the text."""
+    lower = text.lower()
+    try:  # one byte a character does for most texts
+        raw = lower.encode("latin-1")
+        points, kinds = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(_of_bytes()), bool)
+    except UnicodeEncodeError:
+        points = np.frombuffer(lower.encode("utf-32-le"), np.uint32)
+        kinds = _of_words()[points]
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = kinds
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
         return np.zeros(0, np.uint64)
-    lengths = np.flatnonzero(steps == -1) - starts
-    firsts = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
-    powers = _powers(1 << int(lengths.max()).bit_length())
-    terms = (points[inside].astype(np.uint64) + np.uint64(1)) * powers[place]
-    return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    starts, ends = edges[::2], edges[1::2]
+    size = 1 << len(points).bit_length()
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(BASE, size)[: len(points)], out=sums[1:])
+    own = (sums[ends] - sums[starts]) * _powers(INVERSE, size)[starts]
+    return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -16,17 +16,16 @@ BASE_KINDS = {
     # A run of hex digits is taken whole, so asking for 24 at once gives the same matches as dropping short runs.
     "hex": (r"([0-9a-f]{24,})", 1, 24),
 }
-#: Candidates of the entropy scan: unbroken strings that mix digits with other characters.
+#: Candidates of the entropy scan: unbroken strings with a digit among them. Long words without any aren't measured.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])([A-Za-z0-9+/_=-]{20,})"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes of candidates, first match counts: pattern, window, least entropy in bits of some window.
 CLASSES = [(r"^[0-9a-fA-F]+$", 20, 3.0), (r"^[A-Za-z0-9]+$", 20, 3.6), (r"^[A-Za-z0-9+/_=-]+$", 20, 3.8)]
-#: Strings of these shapes are no secrets: UUIDs, plain numbers, file-like names of words with a number, dotted or dashed dates.
+#: Strings that have one of these shapes as a whole are no secrets: UUIDs, plain numbers and dates, names of words with a number, placeholders.
 ALLOW = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9=_+/-]+$",
     r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,6}$",
-    r"(?i)example|placeholder|changeme|xxxx|0000|1234567",
+    r"(?i)^[a-z_=/-]*(example|placeholder|changeme|x{4,}|0{4,}|1234567)[a-z_=/-]{0,12}[0-9]{0,4}$",
 ]
 
 SPAN = "struct<start:int,ord:int,end:int>"
@@ -62,33 +61,32 @@ def _weight(n: Column) -> Column:
 def window_span(s: Column, window: int, bits: float) -> Column:
     """First start and last end of the windows of ``s`` with at least ``bits`` of entropy; null if none.
 
-    Counts of the characters in the window, and the sum that gives its entropy, are kept up to date
-    as the window moves by one: what leaves and what enters changes two counts."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    first = F.slice(codes, 1, window)
-    counts = F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda k: F.size(F.filter(first, lambda c: c == k)))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + _weight(n))
+    The sum that gives a window's entropy is kept up to date as the window moves by one: only the counts of the character
+    that leaves and of the one that enters change."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    first = F.substring(s, 1, window)
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    total = F.aggregate(F.array_distinct(F.slice(chars, 1, window)), F.lit(0.0), lambda a, c: a + _weight(count(first, c)))
     enough = lambda t: F.lit(1e-9) + F.log2(F.lit(float(window))) - t / window >= bits
     none = F.lit(None).cast("int")
-    begin = F.struct(counts.alias("n"), total.alias("t"), F.when(enough(total), 0).otherwise(none).alias("lo"), F.when(enough(total), window).otherwise(none).alias("hi"))
+    begin = F.struct(first.alias("text"), F.lit(0).alias("at"), total.alias("t"), F.when(enough(total), 0).otherwise(none).alias("lo"), F.when(enough(total), window).otherwise(none).alias("hi"))
 
-    def step(acc: Column, move: Column) -> Column:
-        old, new = move["old"], move["new"]
-        n_old, n_new = F.element_at(acc["n"], old), F.element_at(acc["n"], new)
+    def step(acc: Column, new: Column) -> Column:
+        old = F.left(acc["text"], F.lit(1))
+        n_old, n_new = count(acc["text"], old), count(acc["text"], new)
         t = F.when(old == new, acc["t"]).otherwise(acc["t"] - _weight(n_old) + _weight(n_old - 1) - _weight(n_new) + _weight(n_new + 1))
-        n = F.transform(acc["n"], lambda c, k: c - F.when(k + 1 == old, 1).otherwise(0) + F.when(k + 1 == new, 1).otherwise(0))
-        ok = enough(t)
-        return F.struct(n.alias("n"), t.alias("t"), F.coalesce(acc["lo"], F.when(ok, move["at"])).alias("lo"), F.when(ok, move["at"] + window).otherwise(acc["hi"]).alias("hi"))
-
-    length = F.size(codes)
-    moves = F.when(
-        length > window,
-        F.transform(
-            F.arrays_zip(F.slice(codes, F.lit(1), F.greatest(length - window, F.lit(0))).alias("old"), F.slice(codes, F.lit(window + 1), F.greatest(length - window, F.lit(0))).alias("new")),
-            lambda x, i: F.struct(x["old"].alias("old"), x["new"].alias("new"), (i + 1).alias("at")),
-        ),
-    ).otherwise(F.array().cast("array<struct<old:int,new:int,at:int>>"))
-    return F.aggregate(moves, begin, step, lambda acc: F.when(acc["lo"].isNotNull(), F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"))))
+        at = acc["at"] + 1
+        moved = F.struct(F.concat(F.substring(acc["text"], 2, window), new).alias("text"), at.alias("at"), t.alias("t"), acc["lo"].alias("lo"), acc["hi"].alias("hi"))
+        # The sum is made once, though three fields follow from it.
+        return bound(moved, lambda m: F.struct(m["text"].alias("text"), m["at"].alias("at"), m["t"].alias("t"), F.coalesce(m["lo"], F.when(enough(m["t"]), m["at"])).alias("lo"), F.when(enough(m["t"]), m["at"] + window).otherwise(m["hi"]).alias("hi")))
+
+    rest = F.slice(chars, F.lit(window + 1), F.greatest(F.size(chars) - window, F.lit(0)))
+    return F.aggregate(rest, begin, step, lambda acc: F.when(acc["lo"].isNotNull(), F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"))))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _entropy_spans(text: Column, allow: list[str], order: int) -> Column:
