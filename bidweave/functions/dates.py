@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidweave.functions.text import bound
+
 DAY_MICROS = 86_400_000_000
 
 
@@ -22,9 +24,39 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / DAY_MICROS)
 
 
-def permissive(text: Column, *formats: str) -> Column:
-    """The first format that fits; null for blank or odd text."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in (formats or ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy"))])
+#: Shapes of written dates and the formats they are read by, the first shape that fits; without commas, weekday and "GMT".
+SHAPES = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "M/d/yyyy[ H:mm[:ss]]"),
+    (r"(?i)^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? [ap]m$", "M/d/yyyy h:mm[:ss] a"),
+    (r"^\p{Alpha}{3} \d{1,2} \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "MMM d yyyy[ H:mm[:ss]]"),
+    (r"^\p{Alpha}{4,9} \d{1,2} \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "MMMM d yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} \p{Alpha}{3} \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "d MMM yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} \p{Alpha}{4,9} \d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "d MMMM yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} \p{Alpha}{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM yyyy H:mm:ss Z"),
+]
+ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|UTC|GMT|[+-]\d{2}:?\d{2}))?)?)?)?$"
+
+
+def permissive(text: Column) -> Column:
+    """The moment that a text names: ISO dates and date-times with fraction, offset or Z, month/day/year and dates with
+    the month's name, with or without weekday and time. Null for blank or odd text. Without an offset the session's zone counts.
+
+    The shape is told first, so each text is read by one format only."""
+
+    def read(t: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(t, r"^\p{Alpha}{3,9}, *(?=\p{Alnum})|,| (?:GMT|UTC|Z)$", ""), " +", " ")
+        # Offsets may lack their colon, times their seconds.
+        full = F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"([T ]\d{1,2}:\d{2})(?!:?\d)", "$1:00")
+        out = F.when(t.rlike(ISO_SHAPE), full.try_cast("timestamp"))
+        return bound(plain, lambda p: _shaped(out, p))
+
+    return bound(F.btrim(text, F.lit(" \t\r\n")), read)
+
+
+def _shaped(out: Column, plain: Column) -> Column:
+    for shape, form in SHAPES:
+        out = out.when(plain.rlike(shape), F.try_to_timestamp(plain, F.lit(form)))
+    return out
 
 
 def not_expired(deadline: Column, as_of: Column, grace_days: int = 1) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidweave.functions.text import has_any
+from bidweave.functions.text import bound, has_any
 
 Rules = list[tuple[str, list[str]]]
 
@@ -119,10 +119,14 @@ SERVICE_CATEGORIES = ["Drug Testing", "DOT Physicals", "Workers Comp", "Onsite C
 
 def classify(text: Column, rules: Rules, default: str | None = None) -> Column:
     """The label of the first rule of which the (lower-case) text holds a needle."""
-    out = None
-    for label, needles in rules:
-        out = F.when(has_any(text, needles), label) if out is None else out.when(has_any(text, needles), label)
-    return out.otherwise(F.lit(default))
+
+    def case(t: Column) -> Column:
+        out = None
+        for label, needles in rules:
+            out = F.when(has_any(t, needles), label) if out is None else out.when(has_any(t, needles), label)
+        return out.otherwise(F.lit(default))
+
+    return bound(text, case)
 
 
 def client_contact(raw: Column, rules: Rules = CLIENT_CONTACT, default: str = "other") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,14 +36,21 @@ def joined(*values: Column | str, sep: str = " ") -> Column:
     return F.lower(F.concat_ws(sep, *[F.coalesce(as_col(v), F.lit("")) for v in values]))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has_any(text: Column, needles: Iterable[str]) -> Column:
     """Whether the text contains one of the needles. One pass over an array, not a chain of ORs."""
-    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
+    listed = F.array(*[F.lit(n) for n in needles])
+    return bound(text, lambda t: F.exists(listed, lambda n: F.contains(t, n)))
 
 
 def found_in(text: Column, needles: Iterable[str]) -> Column:
     """The needles that the text contains, in list order."""
-    return F.filter(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
+    listed = F.array(*[F.lit(n) for n in needles])
+    return bound(text, lambda t: F.filter(listed, lambda n: F.contains(t, n)))
 
 
 def first_found(text: Column, needles: Iterable[str]) -> Column:
@@ -60,8 +67,14 @@ def group(text: Column, pattern: str, index: int = 1) -> Column:
 
 
 def url_host(url: Column | str) -> Column:
-    """Lower-case host without its first ``www.``; null for what is no URL."""
-    return F.lower(F.regexp_replace(F.try_parse_url(as_col(url), F.lit("HOST")), r"^([^w]*?)www\.", "$1"))
+    """Lower-case host without the first ``www.`` in it, wherever it stands; null for what is no URL."""
+    host = F.lower(F.try_parse_url(as_col(url), F.lit("HOST")))
+    return F.regexp_replace(host, r"^(.*?)www\.", "$1")
+
+
+def url_domain(url: Column | str) -> Column:
+    """Lower-case host without a leading ``www.``; null for what is no URL."""
+    return F.regexp_replace(F.lower(F.try_parse_url(as_col(url), F.lit("HOST"))), r"^www\.", "")
 
 
 def url_id(url: Column | str, prefix: str = "web") -> Column:
@@ -107,12 +120,14 @@ def job_title(title: Column | str) -> Column:
     return F.substring(trimmed(F.regexp_replace(as_col(title), r"(?s)\s*[-|–].*$", "")), 1, 150)
 
 
+#: Legal forms, and the article, that are no part of a company's name.
+LEGAL_FORMS = ["inc", "corp", "llc", "ltd", "co", "lp", "llp", "incorporated", "limited", "company", "the"]
+
+
 def company_core(name: Column | str) -> Column:
     """A company's name without brackets, what follows a comma or period, and legal forms."""
-    out = F.regexp_replace(as_col(name), r"\s*\(.*?\)\s*", " ")
-    out = F.regexp_replace(out, r"[,.].*$", "")
-    out = F.regexp_replace(out, r"(?i)\b(inc|corp|llc|ltd|co|lp|llp|incorporated|limited|company|the)\b\.?", "")
-    return trimmed(F.regexp_replace(out, r"\s+", " "))
+    bare = F.regexp_replace(F.regexp_replace(as_col(name), r"\s*\(.*?\)\s*", " "), r"[,.].*$", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(bare, rf"(?i)\b({'|'.join(LEGAL_FORMS)})\b", ""), r"\s+", " "))
 
 
 def html_text(html: Column | str) -> Column:

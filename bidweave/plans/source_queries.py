@@ -14,12 +14,12 @@ from bidweave.sources import csv_import, envelopes, feeds, registry
 HEADERS = ["Title", " Organization", "Notice ID", "Posted Date", "Deadline", "NAICS", "URL"]
 
 
-@query("SRC04 SRC05 SRC06", """WITH x AS (SELECT c_custkey AS line, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_name || ', "big"' END AS title, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown Agency' ELSE c_mktsegment END AS agency, 'N' || c_custkey % 1000 AS notice, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-02-03' ELSE TIMESTAMP '2025-01-01' END AS posted, CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-05-06' END AS deadline FROM customer)
+@query("SRC04 SRC05 SRC06", """WITH x AS (SELECT c_custkey AS line, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_name || ', "big"' END AS title, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown Agency' ELSE c_mktsegment END AS agency, 'N' || c_custkey % 1000 AS notice, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-02-03' ELSE TIMESTAMP '2025-01-01' END AS posted, CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-05-06 21:00:00' END AS deadline FROM customer)
 SELECT min(line) AS line, arg_min(title, line) AS title, arg_min(agency, line) AS agency, notice AS notice_id, 'Solicitation' AS type, arg_min(posted, line) AS posted_date, arg_min(deadline, line) AS response_deadline FROM x WHERE title IS NOT NULL AND notice <> 'N7' GROUP BY notice""")
 def csv_rows(t: Tables):
     k = F.col("c_custkey")
     quoted = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""big"""'))
-    line = F.concat_ws(",", F.when(k % 10 == 0, " ").otherwise(quoted), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.concat(F.lit("N"), (k % 1000).cast("string")), F.when(k % 2 == 0, "02/03/2024").otherwise("someday"), F.when(k % 4 == 0, "2024-05-06").otherwise(""), F.lit(""), F.lit("http://x/"))
+    line = F.concat_ws(",", F.when(k % 10 == 0, " ").otherwise(quoted), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.concat(F.lit("N"), (k % 1000).cast("string")), F.when(k % 2 == 0, "02/03/2024").otherwise("someday"), F.when(k % 4 == 0, "2024-05-06T17:00:00-04:00").otherwise(""), F.lit(""), F.lit("http://x/"))
     parsed = csv_import.parse_lines(t.customer.select(k.alias("line"), line.alias("csv")), "csv", HEADERS, ["line"])
     good, _ = csv_import.to_records(parsed, "line", moment("2025-01-01"))
     stored = registry.inline(t.spark, "notice_id string", [("N7",)])
@@ -68,7 +68,8 @@ def _notices(t: Tables):
         F.concat(F.lit("DEPARTMENT OF DEFENSE . "), F.col("o_orderpriority")).alias("fullParentPathName"),
         F.lit("Presolicitation").alias("baseType"),
         F.when(k % 2 == 0, "Yes").otherwise("No").alias("active"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("responseDeadLine"),
+        F.when(k % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("postedDate"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(k % 3 == 1, "T17:00:00-04:00").when(k % 3 == 2, "T09:30:00.000Z").otherwise("")).alias("responseDeadLine"),
         F.struct(F.struct(F.when(k % 3 == 0, "").otherwise("Reno").alias("name")).alias("city"), F.struct(F.lit("NV").alias("code")).alias("state")).alias("placeOfPerformance"),
         F.struct(F.col("o_totalprice").cast("string").alias("amount"), F.struct(F.lit("ACME").alias("name")).alias("awardee")).alias("award"),
     )
@@ -76,10 +77,10 @@ def _notices(t: Tables):
 
 
 @query("SRC08 SRC09", """SELECT o_orderkey, 'n' || o_orderkey AS external_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Untitled' ELSE 'Drug testing ' || o_orderkey END AS title, 'DEPARTMENT OF DEFENSE' AS agency, o_orderpriority AS sub_agency, 'Presolicitation' AS type, CASE WHEN o_orderkey % 2 = 0 THEN 'active' ELSE 'archived' END AS status,
-o_orderdate AS response_deadline, CASE WHEN o_orderkey % 3 = 0 THEN 'NV' ELSE 'Reno, NV' END AS place_of_performance, o_totalprice AS award_amount FROM orders, (SELECT unnest([1, 2]))""")
+CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '1998-06-15' ELSE o_orderdate END AS posted_date, o_orderdate + CASE o_orderkey % 3 WHEN 1 THEN INTERVAL 21 HOUR WHEN 2 THEN INTERVAL 570 MINUTE ELSE INTERVAL 0 MINUTE END AS response_deadline, CASE WHEN o_orderkey % 3 = 0 THEN 'NV' ELSE 'Reno, NV' END AS place_of_performance, o_totalprice AS award_amount FROM orders, (SELECT unnest([1, 2]))""")
 def notice_source(t: Tables):
-    rows = envelopes.notices(_notices(t), "payload", ["o_orderkey"])
-    return rows.select("o_orderkey", "external_id", "title", "agency", "sub_agency", "type", "status", F.col("response_deadline").cast("timestamp_ntz").alias("response_deadline"), "place_of_performance", "award_amount")
+    rows = envelopes.notices(_notices(t), "payload", ["o_orderkey"], moment("1998-06-15"))
+    return rows.select("o_orderkey", "external_id", "title", "agency", "sub_agency", "type", "status", F.col("posted_date").cast("timestamp_ntz").alias("posted_date"), F.col("response_deadline").cast("timestamp_ntz").alias("response_deadline"), "place_of_performance", "award_amount")
 
 
 @query("SRC10 SRC11 SCO02", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 45 ELSE 80 END::INTEGER AS forecast, CASE WHEN d BETWEEN 0 AND 89 THEN 'closing-soon' ELSE 'active' END AS status, CAST(CASE WHEN d BETWEEN 0 AND 89 THEN 75 ELSE 45 END AS INTEGER) AS score, d AS days
@@ -103,7 +104,7 @@ def award_source(t: Tables):
     return r.select("l_orderkey", "l_linenumber", "title", "days", "score", "tag", F.when(ended, "expired").otherwise("active").alias("status"), scoring.incumbent(F.lower(F.col("r")["Awarding Agency"]), F.col("r")["Award Amount"]).alias("incumbent"))
 
 
-@query("SRC15 SRC16 SRC17 SRC18 SRC28 SRC30", """SELECT n_nationkey, n_name AS hit, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 80 ELSE 40 END AS INTEGER) AS policy, 'lead ' || n_name AS duty, CAST(85 AS INTEGER) AS leadership, CAST(55 AS INTEGER) AS budget, CASE WHEN n_nationkey % 3 = 0 THEN 'Active' ELSE 'Closed' END AS case_status, CAST(n_nationkey * 10 AS DOUBLE) AS paid FROM nation""")
+@query("SRC15 SRC16 SRC17 SRC18 SRC30", """SELECT n_nationkey, n_name AS hit, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 80 ELSE 40 END AS INTEGER) AS policy, 'lead ' || n_name AS duty, CAST(85 AS INTEGER) AS leadership, CAST(55 AS INTEGER) AS budget, CASE WHEN n_nationkey % 3 = 0 THEN 'Active' ELSE 'Closed' END AS case_status, CAST(n_nationkey * 10 AS DOUBLE) AS paid FROM nation""")
 def envelope_sources(t: Tables):
     k = F.col("n_nationkey")
     hit = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.col("n_name").alias("title")).alias("_source"))).alias("hits")).alias("hits")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("title"))).alias("results"))))
@@ -133,14 +134,14 @@ def enforcement_search(t: Tables):
     return kept.select("o_orderkey", text.group(F.col("s"), r"(?i)(\d+)\s+(?:serious\s+)?violation").try_cast("int").alias("violations"), F.coalesce(text.group(F.col("s"), r"\b([A-Z]{2})\b"), text.group(F.col("link"), r"(?i)state=([A-Z]{2})")).alias("state"))
 
 
-@query("SRC20 SRC21 SRC22 SRC23 SRC24 DED01", "SELECT link, CAST(min(q) AS INTEGER) AS query_idx, 'serper' || min(pos) AS first_pos FROM (SELECT 'http://a/' || user_id AS link, CAST(event_id % 3 AS INTEGER) AS q, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY link")
+@query("SRC21 DED01", "SELECT link, CAST(min(q) AS INTEGER) AS query_idx, 'serper' || min(pos) AS first_pos FROM (SELECT 'http://a/' || user_id AS link, CAST(event_id % 3 AS INTEGER) AS q, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY link")
 def search_sources(t: Tables):
     results = t.events.select(F.concat(F.lit("http://a/"), F.col("user_id").cast("string")).alias("link"), (F.col("event_id") % 3).cast("int").alias("query_idx"), F.col("event_id").alias("pos"))
     first = dedupe.first_seen(results, "link", ["query_idx", "pos"])
     return first.select("link", "query_idx", F.concat(F.lit("serper"), F.col("pos").cast("string")).alias("first_pos"))
 
 
-@query("SRC26 SRC34 SRC35 SRC36 SRC37 SRC38", """SELECT 'registry' AS kind, 'site:a.gov OR site:b.gov health' AS value, 2::BIGINT AS n UNION ALL SELECT 'states', 'Texas', 51 UNION ALL SELECT 'setting', 'db', 1 UNION ALL SELECT 'setting', 'env', 1 UNION ALL SELECT 'provider samGov', 'configured', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'provider tango', 'configured', 0""")
+@query("SRC35 SRC36 SRC37 SRC38", """SELECT 'registry' AS kind, 'site:a.gov OR site:b.gov health' AS value, 2::BIGINT AS n UNION ALL SELECT 'states', 'Texas', 51 UNION ALL SELECT 'setting', 'db', 1 UNION ALL SELECT 'setting', 'env', 1 UNION ALL SELECT 'provider samGov', 'configured', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'provider tango', 'configured', 0""")
 def registry_dimensions(t: Tables):
     portals = registry.inline(t.spark, "g string, site string", [("x", "b.gov"), ("x", "a.gov")])
     site = registry.site_query(portals, "g", "site", "health").select(F.lit("registry").alias("kind"), F.col("query").alias("value"), F.lit(2).cast("bigint").alias("n"))
@@ -154,7 +155,7 @@ def registry_dimensions(t: Tables):
     return site.unionByName(states).unionByName(settings).unionByName(providers)
 
 
-@query("SRC39 SET03", "SELECT n_nationkey, CAST(i AS INTEGER) AS template, replace(['{state} RFP 2025', 'health {state}'][i], '{state}', n_name) AS query FROM nation, (SELECT unnest([1, 2]) AS i)")
+@query("SET03", "SELECT n_nationkey, CAST(i AS INTEGER) AS template, replace(['{state} RFP 2025', 'health {state}'][i], '{state}', n_name) AS query FROM nation, (SELECT unnest([1, 2]) AS i)")
 def template_expand(t: Tables):
     templates = registry.inline(t.spark, "template int, text string", [(1, "{state} RFP 2025"), (2, "health {state}")])
     rows = registry.expanded(t.nation, templates.select("template", "text"), "text", {"{state}": "n_name"})

@@ -224,15 +224,17 @@ def hints_and_periods(t: Tables):
 
 @query(
     "DAT01 DAT02 DAT06 DAT07",
-    """SELECT o_orderkey, o_orderdate AS parsed, strftime(o_orderdate - INTERVAL 30 DAY, '%m/%d/%Y') AS window_start, strftime(o_orderdate - INTERVAL 18 MONTH, '%m/%d/%Y') AS long_start, strftime(o_orderdate, '%b %y') AS month_key,
+    """SELECT o_orderkey, o_orderdate + CASE WHEN o_orderkey % 9 = 7 THEN INTERVAL 4 HOUR ELSE INTERVAL 0 HOUR END AS parsed, strftime(o_orderdate - INTERVAL 30 DAY, '%m/%d/%Y') AS window_start, strftime(o_orderdate - INTERVAL 18 MONTH, '%m/%d/%Y') AS long_start, strftime(o_orderdate, '%b %y') AS month_key,
     CASE WHEN d = 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 30 THEN d || 'd ago' ELSE strftime(o_orderdate, '%b %-d') END AS age
     FROM (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2001-08-01 12:00:00') - epoch_us(o_orderdate)) / 86400000000) AS BIGINT) AS d FROM orders)""",
 )
 def date_formats(t: Tables):
-    at = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    forms = ["MM/dd/yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "MMM d, yyyy", "EEEE, MMMM d, yyyy", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'-04:00'", "M/d/yyyy h:mm a"]
+    kind = F.col("o_orderkey") % len(forms)
+    at = F.coalesce(*[F.when(kind == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)])
     return t.orders.select(
         "o_orderkey",
-        dates.permissive(at, "yyyy-MM-dd", "MM/dd/yyyy").cast("timestamp_ntz").alias("parsed"),
+        dates.permissive(at).cast("timestamp_ntz").alias("parsed"),
         F.date_format(F.date_sub("o_orderdate", 30), "MM/dd/yyyy").alias("window_start"),
         F.date_format(F.add_months("o_orderdate", -18), "MM/dd/yyyy").alias("long_start"),
         F.date_format("o_orderdate", "MMM yy").alias("month_key"),
@@ -317,7 +319,7 @@ def host_suffix_join(t: Tables):
     return t.pages.select("page_id", F.explode(suffixes).alias("suffix")).join(F.broadcast(wanted), "suffix").select("page_id", "suffix")
 
 
-@query("FLT07 SRC20 SRC21 SRC24", f"SELECT {HOST_SQL} AS host, min(page_id) AS first_page, count(*) AS n FROM pages WHERE NOT ends_with({HOST_SQL}, 'example.com') GROUP BY 1")
+@query("FLT07 SRC21", f"SELECT {HOST_SQL} AS host, min(page_id) AS first_page, count(*) AS n FROM pages WHERE NOT ends_with({HOST_SQL}, 'example.com') GROUP BY 1")
 def search_results(t: Tables):
     results = t.pages.select(F.col("url").alias("link"), "page_id").where(~filters.blocked("link", ["example.com"]))
     return results.groupBy(text.url_host("link").alias("host")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))

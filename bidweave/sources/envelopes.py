@@ -19,16 +19,28 @@ def path_part(path: Column, number: int) -> Column:
     return F.trim(F.try_element_at(F.split(path, r"\."), F.lit(number)))
 
 
+def listed(payload: str | Column, list_path: str, schema: str) -> Column:
+    """The list at a path of a JSON payload, read in one pass with the fields that are asked for; null for bad JSON."""
+    parts = list_path.removeprefix("$.").split(".")
+    kind = f"array<{schema}>"
+    for part in reversed(parts):
+        kind = f"struct<`{part}`:{kind}>"
+    found = F.from_json(F.col(payload) if isinstance(payload, str) else payload, kind)
+    for part in parts:
+        found = found[part]
+    return found
+
+
 def flat(df: DataFrame, payload: str, list_path: str, schema: str, keep: list[str], first: int | None = None) -> DataFrame:
     """The elements of a list inside a JSON payload, with their position; bad JSON gives none."""
-    array = F.from_json(F.get_json_object(F.col(payload), list_path), f"array<{schema}>")
+    array = listed(payload, list_path, schema)
     if first:
         array = F.slice(array, 1, first)
     return df.select(*keep, F.posexplode(array).alias("pos", "r"))
 
 
-def notices(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """Notices as canonical records."""
+def notices(df: DataFrame, payload: str, keep: list[str], as_of: Column) -> DataFrame:
+    """Notices as canonical records; those without a date were posted at ``as_of``."""
     rows = flat(df, payload, "$.opportunitiesData", NOTICE, keep)
     r = F.col("r")
     return rows.select(
@@ -40,7 +52,7 @@ def notices(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
         F.coalesce(r["type"], r["baseType"], F.lit("Solicitation")).alias("type"),
         F.when(r["active"] == "Yes", "active").otherwise("archived").alias("status"),
         r["naicsCode"].alias("naics_code"),
-        permissive(r["postedDate"]).alias("posted_date"),
+        F.coalesce(permissive(r["postedDate"]), as_of).alias("posted_date"),
         permissive(r["responseDeadLine"]).alias("response_deadline"),
         F.coalesce(r["typeOfSetAsideDescription"], r["typeOfSetAside"]).alias("set_aside"),
         F.nullif(F.concat_ws(", ", F.nullif(r["placeOfPerformance"]["city"]["name"], F.lit("")), F.nullif(r["placeOfPerformance"]["state"]["code"], F.lit(""))), F.lit("")).alias("place_of_performance"),
@@ -95,8 +107,7 @@ def incumbent_items(df: DataFrame, payload: str, keep: list[str], as_of: Column,
 def search_hits(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Hits under ``hits.hits`` or ``results``, each in ``_source`` or in the hit itself."""
     hit = "struct<_source:struct<title:string,summary:string,agency_name:string>,title:string,summary:string,agency_name:string>"
-    parse = lambda path: F.from_json(F.get_json_object(F.col(payload), path), f"array<{hit}>")
-    rows = df.select(*keep, F.posexplode(F.coalesce(parse("$.hits.hits"), parse("$.results"))).alias("pos", "r"))
+    rows = df.select(*keep, F.posexplode(F.coalesce(listed(payload, "$.hits.hits", hit), listed(payload, "$.results", hit))).alias("pos", "r"))
     pick = lambda c: F.when(F.col("r")["_source"].isNotNull(), F.col("r")["_source"][c]).otherwise(F.col("r")[c]).alias(c)
     return rows.select(*keep, "pos", pick("title"), pick("summary"), pick("agency_name"))
 

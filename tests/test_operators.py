@@ -208,3 +208,27 @@ def test_settings_prefer_stored_values(spark, rows_of):
     db = frame(spark, "key string, value string", [("a", "x"), ("b", "")])
     env = frame(spark, "key string, value string", [("a", "y"), ("b", "z"), ("c", "")])
     assert rows_of(registry.setting(db, env)) == [("a", "x"), ("b", "z"), ("c", None)]
+
+
+@pytest.mark.parametrize(
+    ("written", "moment"),
+    [
+        ("2026-05-01T17:00:00-04:00", "2026-05-01 21:00:00"), ("2026-05-01T17:00:00Z", "2026-05-01 17:00:00"), ("2026-05-01T17:00:00", "2026-05-01 17:00:00"), ("2026-05-01T17:00Z", "2026-05-01 17:00:00"),
+        ("2026-05-01T17:00:00.250-0400", "2026-05-01 21:00:00.250000"), ("2026-05-01", "2026-05-01 00:00:00"), ("2026-05-01 08:30:00", "2026-05-01 08:30:00"), ("05/01/2026", "2026-05-01 00:00:00"), ("5/1/2026 5:00 PM", "2026-05-01 17:00:00"),
+        ("May 1, 2026", "2026-05-01 00:00:00"), ("Friday, May 1, 2026", "2026-05-01 00:00:00"), ("September 3, 2026 10:00", "2026-09-03 10:00:00"), ("Fri, 01 May 2026 17:00:00 GMT", "2026-05-01 17:00:00"),
+        ("01 Sep 2026 10:00:00 +0200", "2026-09-01 08:00:00"), (" 2026-05-01 ", "2026-05-01 00:00:00"), ("someday", None), ("", None), (None, None), ("2026-13-01", None), ("12:30", None), ("13/13/2026", None),
+    ],
+)
+def test_dates_as_they_are_written(spark, written, moment):
+    found = value(spark, dates.permissive(F.lit(written).cast("string")).cast("string"))
+    assert found == (moment and moment.replace(".250000", ".25"))
+
+
+def test_hosts(spark):
+    for url, host, domain in [("https://news.www.x.gov/a", "news.x.gov", "news.www.x.gov"), ("https://WWW.x.gov", "x.gov", "x.gov"), ("http://x.gov/www.", "x.gov", "x.gov"), ("nonsense", None, None)]:
+        assert value(spark, text.url_host(F.lit(url))) == host and value(spark, text.url_domain(F.lit(url))) == domain
+
+
+def test_company_names(spark):
+    for name, core in [("Acme (USA) Holdings, Inc.", "Acme Holdings"), ("The Widget Company LLC", "Widget"), ("Corpus Co", "Corpus")]:
+        assert value(spark, text.company_core(F.lit(name))) == core
