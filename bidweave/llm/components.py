@@ -15,16 +15,17 @@ def loose(col: str) -> Column:
     return F.col(col).bitwiseXOR(F.lit(0).cast("bigint"))
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b), both long; label is the least node reachable.
 
     Every round a node takes the least label among its neighbours, then the label of its
     label, so chains shrink by half or better. Hubs are joined over slim rows, with
-    partial minima before the shuffle. Rounds end when no label changes."""
+    partial minima before the shuffle. Labels only fall, so
+    rounds end: when none changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.select("a", loose("b").alias("b")).join(labels.select(loose("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         lowered = cut_lineage(labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")))
         target = lowered.select(loose("node").alias("at"), F.col("label").alias("next"))
@@ -34,4 +35,3 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = labels_now.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"labels still changed after {rounds} rounds")

@@ -4,8 +4,8 @@ Copies (equal n-gram sets) are one node from the start. Nodes that share a band
 candidates; nothing is left out of a bucket. Candidates are verified in blocks: a block
 holds a bounded number of sets, compares all its candidate pairs inside one task and
 returns one row per node, never a row per pair. A large bucket or candidate component is split into
-chunks and every pair of chunks is a block, so hot groups spread over the cluster and
-no link is lost.
+chunks, bounded in sets and in n-grams, and every pair of chunks is a block, so hot groups spread over the cluster and
+no link is lost. Links are counted, so every candidate pair of different sets is compared; copies are not.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from bidweave.llm.components import connected, loose
 
 #: Nodes of a chunk; a block compares one chunk with itself or with another.
 CHUNK = 256
+#: N-grams of a chunk (8 bytes each); a text of more has a chunk of its own, or shares one by chance.
+CHUNK_GRAMS = 1 << 21
 #: A component is compared as a whole if its square is at most so many times the squares of its buckets.
 DENSE = 4
 #: A table of ids is broadcast only if it was counted to have no more rows than this (8 bytes each).
@@ -136,7 +138,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(n: int, bands: int, rows: int, with_set: bool):
-    names = ["_id", "set_key", "bands"] + ["grams"] * with_set
+    names = ["_id", "set_key", "bands", "q"] + ["grams"] * with_set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -157,7 +159,7 @@ def _signatures(n: int, bands: int, rows: int, with_set: bool):
                     found = band_hashes([sets[i] for i in full], bands, rows)
                     for i, row in zip(full, found):
                         keys[i], own[i] = hashlib.md5(sets[i].tobytes()).hexdigest(), row
-                columns = [ids.slice(start, stop - start), pa.array(keys, pa.string()), pa.array(own, pa.list_(pa.int64()))]
+                columns = [ids.slice(start, stop - start), pa.array(keys, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
                 if with_set:
                     columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -252,30 +254,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     taken = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    signed = cut_lineage(taken.mapInArrow(_signatures(n, bands, rows, False), "_id bigint, set_key string, bands array<bigint>"))
-    sets = cut_lineage(signed.where("set_key is not null").groupBy("set_key").agg(F.min("_id").alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
+    signed = cut_lineage(taken.mapInArrow(_signatures(n, bands, rows, False), "_id bigint, set_key string, bands array<bigint>, q bigint"))
+    sets = cut_lineage(signed.where("set_key is not null").groupBy("set_key").agg(F.min("_id").alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("q").alias("q")))
 
-    banded = sets.where("node is not null").select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
-    members = cut_lineage(banded.select("node", "band", loose("key").alias("key")).join(buckets.select("band", loose("key").alias("key"), "n", "head"), ["band", "key"]))
+    banded = sets.where("node is not null").select("node", "q", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum("q").alias("grams")).where("n > 1")
+    members = cut_lineage(banded.select("node", "q", "band", loose("key").alias("key")).join(buckets.select("band", loose("key").alias("key"), "n", "head", "grams"), ["band", "key"]))
     # Every node goes to the least of its buckets' heads (one a band at most), so only heads are left to connect.
-    least = cut_lineage(members.groupBy("node").agg(F.min("head").alias("m"), F.collect_set("head").alias("heads")))
+    least = cut_lineage(members.groupBy("node").agg(F.min("head").alias("m"), F.collect_set("head").alias("heads"), F.first("q").alias("q")))
     among = connected(least.select(F.col("m").alias("a"), F.explode("heads").alias("b")))
     moved = among.where("label <> node").select(F.col("node").alias("_from"), F.col("label").alias("_to"))
-    labels = least.select("node", loose("m").alias("m")).join(moved.withColumn("_from", loose("_from")), F.col("m") == F.col("_from"), "left")
-    labels = cut_lineage(labels.select("node", F.coalesce("_to", "m").alias("comp")))
+    labels = least.select("node", "q", loose("m").alias("m")).join(moved.withColumn("_from", loose("_from")), F.col("m") == F.col("_from"), "left")
+    labels = cut_lineage(labels.select("node", "q", F.coalesce("_to", "m").alias("comp")))
 
     # Blocks: of a candidate component where it is small or dense, else of its buckets.
-    work = members.where("node = head").select("head", "n").join(labels, F.col("head") == F.col("node")).groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
-    sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).join(work, "comp")
+    work = members.where("node = head").select("head", "n").join(labels.drop("q"), F.col("head") == F.col("node")).groupBy("comp").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("size"), F.sum("q").alias("grams")).join(work, "comp")
     whole = (F.col("size") <= CHUNK) | (F.col("size") * F.col("size") <= DENSE * F.col("work"))
-    sizes = sizes.select(loose("comp").alias("comp"), "size", whole.alias("whole"))
+    sizes = sizes.select(loose("comp").alias("comp"), "size", "grams", whole.alias("whole"))
     placed = labels.select("node", loose("comp").alias("comp")).join(sizes, "comp")
-    by_component = placed.where("whole").select("node", F.col("comp").alias("g1"), F.lit(-1).alias("g2"), F.col("size").alias("n"))
+    by_component = placed.where("whole").select("node", F.col("comp").alias("g1"), F.lit(-1).alias("g2"), F.col("size").alias("n"), "grams")
     scattered = placed.where("not whole").select(loose("node").alias("node"))
-    by_bucket = members.select(loose("node").alias("node"), F.col("key").alias("g1"), F.col("band").alias("g2"), "n").join(scattered, "node", "left_semi")
-    grouped = by_component.unionByName(by_bucket.select("node", "g1", "g2", "n"))
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    by_bucket = members.select(loose("node").alias("node"), F.col("key").alias("g1"), F.col("band").alias("g2"), "n", "grams").join(scattered, "node", "left_semi")
+    grouped = by_component.unionByName(by_bucket.select("node", "g1", "g2", "n", "grams"))
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.least(F.col("grams") / CHUNK_GRAMS, F.col("n").cast("double")))).cast("int")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     blocks = grouped.select("node", "g1", "g2", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")).select(
         "node", "g1", "g2", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
@@ -283,8 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     needed = labels.select(F.col("node").alias("_need"))
     text_rows = taken.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, F.col("_id") == F.col("_need"), "left_semi")
-    full = text_rows.mapInArrow(_signatures(n, bands, rows, True), "_id bigint, set_key string, bands array<bigint>, grams binary").where("set_key is not null")
-    content = full.withColumnRenamed("_id", "node").dropDuplicates(["node", "set_key"]).drop("set_key")
+    full = text_rows.mapInArrow(_signatures(n, bands, rows, True), "_id bigint, set_key string, bands array<bigint>, q bigint, grams binary").where("set_key is not null")
+    content = full.withColumnRenamed("_id", "node").dropDuplicates(["node", "set_key"]).drop("set_key", "q")
     checked = cut_lineage(blocks.join(content, "node").groupBy("g1", "g2", "lo", "hi").applyInPandas(_verify(threshold), "node bigint, root bigint, links bigint"))
 
     classes = connected(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("_n1"), F.col("label").alias("class_id"))

@@ -95,6 +95,15 @@ def test_large_groups_are_compared_in_blocks(documents, monkeypatch, dense):
     assert got == brute_classes(rows)
 
 
+def test_long_texts_are_compared_in_smaller_blocks(documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_GRAMS", 300)
+    rng = random.Random(10)
+    base = words(rng, 150)
+    rows = [(i, " ".join(edited(rng, base, 2))) for i in range(20)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.near_duplicates(documents(rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.9), (0.9, 0.99999)):
         bands, rows = ngram_join.choose_bands(threshold, recall)
