@@ -44,18 +44,19 @@ def permissive(text: Column) -> Column:
     The shape is told first, so each text is read by one format only."""
 
     def read(t: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(t, r"^\p{Alpha}{3,9}, *(?=\p{Alnum})|,| (?:GMT|UTC|Z)$", ""), " +", " ")
         # Offsets may lack their colon, times their seconds.
         full = F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"([T ]\d{1,2}:\d{2})(?!:?\d)", "$1:00")
-        out = F.when(t.rlike(ISO_SHAPE), full.try_cast("timestamp"))
-        return bound(plain, lambda p: _shaped(out, p))
+        plain = F.regexp_replace(F.regexp_replace(t, r"^\p{Alpha}{3,9}, *(?=\p{Alnum})|,| (?:GMT|UTC|Z)$", ""), " +", " ")
+        return F.when(t.rlike(ISO_SHAPE), F.coalesce(t.try_cast("timestamp"), full.try_cast("timestamp"))).when(t != "", bound(plain, _shaped))
 
     return bound(F.btrim(text, F.lit(" \t\r\n")), read)
 
 
-def _shaped(out: Column, plain: Column) -> Column:
+def _shaped(plain: Column) -> Column:
+    out = None
     for shape, form in SHAPES:
-        out = out.when(plain.rlike(shape), F.try_to_timestamp(plain, F.lit(form)))
+        case = (plain.rlike(shape), F.try_to_timestamp(plain, F.lit(form)))
+        out = F.when(*case) if out is None else out.when(*case)
     return out
 
 

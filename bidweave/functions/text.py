@@ -189,10 +189,11 @@ def money_grouped(amount: Column | str) -> Column:
 
 # --- extraction -----------------------------------------------------------------------------------
 
-#: Month names, and labels that usually precede a deadline.
+#: Names of months, and words beside which a date is a deadline.
 MONTHS = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 LABELS = r"(?:due|deadline|closes?|closing|submit(?:tal)?(?:\s+date)?|proposals?\s+due|responses?\s+due|receipt\s+of\s+proposals?|bid\s+opening|due\s+date)"
-#: The date is group 1; what may follow it is consumed, not looked at, so that any engine can run these.
+#: Where a deadline stands, in the order in which it is looked for. The date is group 1; what may follow
+#: it is consumed, not looked at, so that any engine can run these.
 DEADLINE_PATTERNS = [
     rf"(?i){LABELS}[:\s]+({MONTHS}\s+\d{{1,2}},?\s*\d{{4}})",
     rf"(?i)({MONTHS}\s+\d{{1,2}},?\s*\d{{4}})\s*[–-]?\s*{LABELS}",

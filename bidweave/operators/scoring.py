@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bidweave.functions.dates import elapsed_days
 from bidweave.functions.text import found_in, has_any
 
-# Words and agencies that add to scores.
+# Words and agencies that add to scores. The bases, points and limits in the functions below are fixed values too.
 RELEVANCE_WORDS = [
     "occupational health", "occumed", "occu-med", "employee health", "drug testing", "pre-employment", "CDL", "DOT physical", "medical examination", "fit for duty",
     "workers comp", "workers compensation", "clinic", "mobile medical", "FMCSA", "POST physical", "nurse", "physician", "industrial hygiene", "EHS",

@@ -43,6 +43,10 @@ def shaped(df: DataFrame, table: str, as_of: Column) -> DataFrame:
     return df.select(*[v.alias(k) for k, v in values.items()])
 
 
+#: Fixed value: the note that is stored with a find that no model has read yet.
+FALLBACK_NOTE = "Web discovery — AI analysis pending (rate limited). Review source URL for details."
+
+
 @route("GET /healthz")
 def health(spark: SparkSession) -> DataFrame:
     return registry.inline(spark, "status string", [("ok",)])
@@ -133,7 +137,7 @@ def fetched(opportunities: DataFrame, canonical: DataFrame, as_of: Column, keywo
         F.col("source").alias("provider_name"),
         relevance.cast("decimal(38,6)").alias("relevance_score"),
         rules.confidence(relevance, fallback).alias("source_confidence"),
-        F.when(fallback, "Web discovery — AI analysis pending (rate limited). Review source URL for details.").otherwise(F.get_json_object("raw_data", "$.relevanceReason")).alias("notes"),
+        F.when(fallback, FALLBACK_NOTE).otherwise(F.get_json_object("raw_data", "$.relevanceReason")).alias("notes"),
     ).withColumn("id", new_id())
     incoming = shaped(records, "opportunities", as_of)
     keyed = incoming.where("notice_id is not null")

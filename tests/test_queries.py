@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
+import bidweave
 from bidweave.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,28 @@ def test_inventory_is_covered():
     ids = set(re.findall(r"^\| ([A-Z]{3}\d\d) \|", survey, re.M))
     covered = {c for q in QUERIES.values() for c in q.covers}
     assert ids <= covered
+
+
+#: Queries that plain DataFrame operations express; all others call an operator, function or source of the library.
+PLAIN = {
+    "ext_cube", "ext_rollup", "ext_frames", "ext_intersect", "ext_sessions", "ext_approximate", "missing_or_unknown", "threshold_default", "point_lookup", "membership", "conditional_counts", "distinct_counts",
+    "year_status_pivot", "json_sum", "grouped_lists", "failure_as_zero", "key_difference", "column_by_key", "votes_negative", "one_hot", "pick_preferred", "split_path", "text_backfill",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - PLAIN))
+def test_queries_call_the_library(spark, name):
+    package = Path(bidweave.__file__).parent
+    called = set()
+
+    def note(frame, event, arg):
+        path = Path(frame.f_code.co_filename)
+        if event == "call" and package in path.parents and path.parent.name in ("functions", "operators", "sources", "streaming"):
+            called.add(frame.f_code.co_name)
+
+    sys.setprofile(note)
+    try:
+        QUERIES[name].build(spark, SF)
+    finally:
+        sys.setprofile(None)
+    assert any(not c.startswith("<") for c in called)
