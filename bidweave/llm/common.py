@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +38,10 @@ def prepare(spark: SparkSession) -> None:
     roots = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if str(PACKAGE.parent) in roots or getattr(context, "_bidweave_shipped", False):
         return
-    target = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}.zip"
+    # On the driver only, which serves it to the executors until it ends.
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{PACKAGE.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(PACKAGE.rglob("*.py")):
             z.write(path, path.relative_to(PACKAGE.parent))
