@@ -31,11 +31,24 @@ ALLOW = [
 SPAN = "struct<start:int,ord:int,end:int>"
 
 
-def running(values: Column) -> Column:
-    """Sums of the values up to each place, by doubling distances; no list is grown element by element."""
+def running(values: Column, join=lambda x, y: x + y) -> Column:
+    """Sums (or what ``join`` makes) of the values up to each place, by doubling distances; no list is grown element by element."""
     last = F.size(values)
     distances = F.when(last > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2(last - F.lit(0.5))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(distances, values, lambda acc, d: F.transform(acc, lambda x, i: x + F.when(i >= d, F.get(acc, i - d)).otherwise(0)))
+    return F.aggregate(distances, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, join(x, F.get(acc, i - d))).otherwise(x)))
+
+
+def outside(spans: Column, others: Column) -> Column:
+    """The spans that lie inside none of the others, which are sorted by start. By halving, not by pairs."""
+    reach = lambda o: F.struct(F.transform(o, lambda x: x["start"]).alias("start"), running(F.transform(o, lambda x: x["end"]), F.greatest).alias("end"))
+    steps = [1 << k for k in range(30, -1, -1)]
+
+    def kept(r: Column) -> Column:
+        # how many of the others begin at or before a span
+        before = lambda a: F.aggregate(F.array(*[F.lit(d) for d in steps]), F.lit(0), lambda n, d: F.when((d <= F.size(r["start"]) - n) & (F.get(r["start"], n + d - 1) <= a["start"]), n + d).otherwise(n))
+        return F.filter(spans, lambda a: ~F.coalesce(F.get(r["end"], before(a) - 1) >= a["end"], F.lit(False)))
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(bound(reach(others), kept))
 
 
 def _placed(text: Column, pattern: str, group: int) -> Column:
@@ -127,7 +140,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (
         docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
         .select("_id", F.array_sort(F.concat(*arrays)).alias("base"), added.alias("_added"))
-        .select(F.col("_id").alias(id_col), "base", F.filter("_added", lambda a: ~F.exists("base", lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]))).alias("entropy"))
+        .select(F.col("_id").alias(id_col), "base", outside(F.col("_added"), F.col("base")).alias("entropy"))
     )
 
 
