@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts
+from bidweave.llm import byte_bpe, chat_format, collocations, conversation_trie, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts
 from bidweave.llm.common import read
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(read(spark, sf_dir, "conversations"), graft=True)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE toks AS (
   SELECT doc_id, string_split(t, ' ') AS w FROM (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents) WHERE t <> ''
@@ -141,11 +149,61 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, CAST(count(*) OVER same AS BIGI
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, count(*) AS n, c - c % 100 AS b FROM turns GROUP BY c),
+heads AS (SELECT *, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: ascii(ch)::UBIGINT)),
+  lambda a, ch: list_reduce([xor(a, ch), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT],
+  lambda v, i: CASE WHEN v & 1::UBIGINT = 1 THEN xor(v >> 1::UBIGINT, 3988292384::UBIGINT) ELSE v >> 1::UBIGINT END)), 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM own),
+made AS (
+  SELECT heads.c, p, r, x FROM heads JOIN turns ON turns.c = heads.b WHERE p < h
+  UNION ALL SELECT heads.c, p, r, x FROM heads JOIN turns ON turns.c = heads.c WHERE p >= h
+), pre AS (
+  SELECT c, row_number() OVER w AS d, string_agg(md5(CAST(length(r) AS VARCHAR) || ':' || r || x), '') OVER w AS k, length(x) AS chars FROM made WINDOW w AS (PARTITION BY c ORDER BY p)
+  UNION ALL SELECT c, 0, '', 0 FROM own
+), nodes AS (SELECT d, k, min(c) AS owner, count(*) AS n_convs, max(chars) AS chars FROM pre GROUP BY d, k),
+linked AS (SELECT nodes.*, up.k AS pk FROM nodes LEFT JOIN pre up ON up.c = owner AND up.d = nodes.d - 1),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (d, k)),
+sub AS (
+  SELECT pre.d, pre.k, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.chars) AS saved_tokens
+  FROM full_nodes w JOIN pre ON pre.c = w.owner AND pre.d <= w.d GROUP BY 1, 2
+), ends AS (
+  SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d FROM pre GROUP BY c) JOIN pre USING (c, d) GROUP BY 1, 2
+)
+SELECT f.owner AS conv_id, CAST(f.d AS BIGINT) AS depth, p.owner AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes f JOIN sub USING (d, k) LEFT JOIN ends USING (d, k) LEFT JOIN nodes p ON p.d = f.d - 1 AND p.k = f.pk
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), runs AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3]) AS k FROM runs))),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+split AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+ways AS MATERIALIZED (SELECT lang, g, a, c, array_to_string(w[1:c], ' ') AS lg, array_to_string(w[c + 1:], ' ') AS rg FROM (SELECT *, unnest(range(1, k)) AS c FROM split)),
+cuts AS (
+  SELECT ways.*, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM ways JOIN f l ON l.lang = ways.lang AND l.g = lg JOIN f r ON r.lang = ways.lang AND r.g = rg
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, g, max(a) AS longer FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS g, a FROM split WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM split WHERE k = 3) GROUP BY 1, 2
+), kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, g AS phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def queries() -> dict[str, QueryFunction]:
-    found = (op1_language_id, op2_ngram_join, op3_token_counts, op4_substring_dedup, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan)
+    found = (op1_language_id, op2_ngram_join, op3_token_counts, op4_substring_dedup, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan, op11_conversation_trie, op13_collocations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op5_decontaminate": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op13_collocations": OP13_SQL}

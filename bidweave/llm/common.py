@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on; bounds the memory of a Python worker.
@@ -118,6 +118,37 @@ def new_folder(spark: SparkSession, root: str | None = None) -> str:
     return root or f"{_checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one run, in a folder of the shared ones that is removed when the session's JVM ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self._made = spark, new_folder(spark), 0
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written as a table of its own, and read again: its lineage ends there."""
+        self._made += 1
+        path = f"{self.folder}/{self._made}.parquet"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place in the order of their group: a table with ``_pid`` and ``_at``, and what turns these into places.
+
+    All rows are dealt out by range, so that a group may fill many tasks; the second frame has (_pid, group, _first, _before, _n)
+    for each stretch of a group in one task, so the place, from 0, is _at - _first + _before. Null groups are one group. Equal rows may take any order."""
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(group, *order, "_tie").sortWithinPartitions(group, *order, "_tie").drop("_tie")
+    table = scratch.keep(dealt.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_at")))
+    stretches = table.groupBy("_pid", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return table, stretches.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
