@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm import byte_bpe, chat_format, collocations, conversation_trie, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts
+from bidweave.llm import byte_bpe, chat_format, collocations, conversation_trie, decontaminate, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts, toxicity
 from bidweave.llm.common import read
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(read(spark, sf_dir, "conversations"), graft=True)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -201,7 +206,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 
 
 def queries() -> dict[str, QueryFunction]:
-    found = (op1_language_id, op2_ngram_join, op3_token_counts, op4_substring_dedup, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan, op11_conversation_trie, op13_collocations)
+    found = (op1_language_id, op2_ngram_join, op3_token_counts, op4_substring_dedup, op5_decontaminate, op6_chat_format, op7_exact_dedup, op8_html_extract, op9_byte_bpe, op10_secret_scan, op11_conversation_trie, op12_toxicity, op13_collocations)
     return {f.__name__: f for f in found}
 
 
