@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidweave.operators.containment import containing, fingerprint
 from bidweave.operators.dedupe import best_by
 
 
@@ -20,27 +21,29 @@ def without_existing(rows: DataFrame, state: DataFrame, keys: list[str]) -> Data
 
 
 def contained_place(rows: DataFrame, text: str, places: DataFrame) -> DataFrame:
-    """The place (id, city, state, ordinal) that a lower-case text mentions.
+    """The place (id, city, state, ordinal) that a lower-case text mentions, as ``place_id``.
 
-    The first city wins at once; without one, the last state. Places are a small dimension that
-    becomes one array in one row, so the test stays within each row of the text."""
-    listed = places.agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("city").alias("city"), F.lower("state").alias("state"), "id"))).alias("_places")).scalar()
-    joined = rows.withColumn("_places", listed)
-    hits = lambda c: F.filter("_places", lambda p: (p[c] != "") & F.contains(F.col(text), p[c]))
-    chosen = F.coalesce(F.try_element_at(hits("city"), F.lit(1)), F.try_element_at(hits("state"), F.lit(-1)))
-    return joined.withColumn("place_id", chosen["id"]).drop("_places")
+    The first city wins at once; without one, the last state. Names are found through an index (``containment``), so neither
+    texts nor places are compared each with each, however many there are; equal texts are looked at once."""
+    named = lambda c, kind: places.select(F.lit(kind).alias("kind"), F.lower(c).alias("name"), F.struct("ordinal", "id").alias("place"))
+    hits = containing(rows, text, named("city", "city").unionByName(named("state", "state")), "name")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("place"))
+    chosen = hits.groupBy("fingerprint").agg(F.min(of("city")).alias("city"), F.max(of("state")).alias("state"))
+    chosen = chosen.select(F.col("fingerprint").alias("_fingerprint"), F.coalesce("city.id", "state.id").alias("place_id"))
+    return rows.withColumn("_fingerprint", fingerprint(text)).join(chosen, "_fingerprint", "left").drop("_fingerprint")
 
 
 def first_match(rows: DataFrame, host: str, portals: DataFrame, default: str) -> DataFrame:
-    """The first portal (ordinal, domain, name) whose domain a host contains, else the default."""
-    listed = portals.agg(F.array_sort(F.collect_list(F.struct("ordinal", "domain", "name"))).alias("_portals")).scalar()
-    hit = F.try_element_at(F.filter("_portals", lambda p: F.contains(F.col(host), p["domain"])), F.lit(1))
-    return rows.withColumn("_portals", listed).withColumn("portal", F.coalesce(hit["name"], F.lit(default))).drop("_portals")
+    """The first portal (ordinal, domain, name) whose domain a host contains, else the default. Hosts meet domains through an index."""
+    hits = containing(rows, host, portals.select("domain", F.struct("ordinal", "name").alias("place")), "domain")
+    chosen = hits.groupBy(F.col("fingerprint").alias("_fingerprint")).agg(F.min("place").alias("_place"))
+    joined = rows.withColumn("_fingerprint", fingerprint(host)).join(chosen, "_fingerprint", "left")
+    return joined.withColumn("portal", F.coalesce("_place.name", F.lit(default))).drop("_fingerprint", "_place")
 
 
 def labelled(rows: DataFrame, code: str, labels: DataFrame, default: str) -> DataFrame:
-    """Code to label through a small dimension (code, label)."""
-    return rows.join(F.broadcast(labels.withColumnRenamed("code", code)), code, "left").withColumn("label", F.coalesce("label", F.lit(default)))
+    """Code to label through a dimension (code, label); Spark chooses the join by its size."""
+    return rows.join(labels.withColumnRenamed("code", code), code, "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:

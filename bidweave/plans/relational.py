@@ -71,6 +71,27 @@ def first_match_dimension(t: Tables):
     return joins.first_match(t.pages.select("page_id", url_host("url").alias("h")), "h", portals, "State Portal").select("page_id", "portal")
 
 
+@query("JOI06", """WITH places AS (SELECT item_id, lower(array_to_string(string_split_regex(trim(text), '\\s+')[1:3], ' ')) AS opening, lower(string_split_regex(trim(text), '\\s+')[4]) AS fourth FROM benchmark),
+hits AS (SELECT doc_id, min(CASE WHEN opening <> '' AND contains(lower(text), opening) THEN item_id END) AS a, max(CASE WHEN fourth <> '' AND contains(lower(text), fourth) THEN item_id END) AS b FROM documents, places GROUP BY doc_id)
+SELECT doc_id, coalesce(a, b) AS place_id FROM hits""")
+def mention_join(t: Tables):
+    """The dimension is a table too: the first three words of each benchmark item stand for a city of several words, the fourth for a state."""
+    w = F.split(F.trim(F.col("text")), r"\s+")
+    places = t.benchmark.select(F.col("item_id").alias("id"), F.col("item_id").alias("ordinal"), F.array_join(F.slice(w, 1, 3), " ").alias("city"), F.get(w, F.lit(3)).alias("state"))
+    return joins.contained_place(t.documents.select("doc_id", F.lower("text").alias("x")), "x", places).select("doc_id", "place_id")
+
+
+@query("JOI07", f"""WITH h AS (SELECT page_id, {HOST_SQL} AS h FROM pages), portals AS (SELECT split_part(h, '.', 1) AS domain, min(page_id) AS ordinal FROM h GROUP BY 1)
+SELECT page_id, coalesce((SELECT arg_min(domain, ordinal) FROM portals WHERE domain <> '' AND contains(h, domain)), 'State Portal') AS portal FROM h""")
+def portal_index(t: Tables):
+    """A portal for each first label of a host; a host takes the oldest one whose name it contains."""
+    from bidweave.functions.text import url_host
+
+    pages = t.pages.select("page_id", url_host("url").alias("h"))
+    portals = pages.groupBy(F.split_part("h", F.lit("."), F.lit(1)).alias("domain")).agg(F.min("page_id").alias("ordinal")).withColumn("name", F.col("domain"))
+    return joins.first_match(pages, "h", portals, "State Portal").select("page_id", "portal")
+
+
 @query("JOI11", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Other' END AS label FROM orders")
 def label_lookup(t: Tables):
     labels = inline(t.spark, "code string, label string", [("F", "Finished"), ("O", "Open")])
