@@ -16,16 +16,18 @@ BASE_KINDS = {
     # A run of hex digits is taken whole, so asking for 24 at once gives the same matches as dropping short runs.
     "hex": (r"([0-9a-f]{24,})", 1, 24),
 }
-#: Candidates of the entropy scan: unbroken strings with a digit among them. Long words without any aren't measured.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])([A-Za-z0-9+/_=-]{20,})"
+#: Candidates of the entropy scan: unbroken strings, with digits or without.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})"
 #: Character classes of candidates, first match counts: pattern, window, least entropy in bits of some window.
 CLASSES = [(r"^[0-9a-fA-F]+$", 20, 3.0), (r"^[A-Za-z0-9]+$", 20, 3.6), (r"^[A-Za-z0-9+/_=-]+$", 20, 3.8)]
-#: Strings that have one of these shapes as a whole are no secrets: UUIDs, plain numbers and dates, names of words with a number, placeholders.
+#: Strings that have one of these shapes as a whole are no secrets: UUIDs, plain numbers and dates, names of lower-case words with a number or without, placeholders.
+#: Repetitions are possessive, so that Java neither calls itself once for each nor goes back: patterns here take linear time and no stack.
 ALLOW = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9=_+/-]+$",
-    r"^[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,6}$",
-    r"(?i)^[a-z_=/-]*(example|placeholder|changeme|x{4,}|0{4,}|1234567)[a-z_=/-]{0,12}[0-9]{0,4}$",
+    r"^[a-z]++(?:[-_/][a-z]++)*+[-_/]?[0-9]{0,6}$",
+    r"(?i)^(?=.*(?:example|placeholder|changeme|xxxx)[a-z_=/-]{0,12}[0-9]{0,4}$)[a-z_=/-]++[0-9]{0,4}$",
+    r"(?i)^[a-z_=/-]*+(?:0{4,}+|1234567)[a-z_=/-]{0,12}[0-9]{0,4}$",
 ]
 
 SPAN = "struct<start:int,ord:int,end:int>"

@@ -351,7 +351,7 @@ def test_op6_has_the_extra_conversation(spark):
     assert rows[-7]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
 
 
-@pytest.mark.parametrize("text", ["-" * 1_000_000, " " * 1_000_000, "a" * 1_000_000, "deadbeef0123456789abcdef " * 30_000, "token=abcdef1 " * 30_000, "x1y2z3" * 40_000])
+@pytest.mark.parametrize("text", ["-" * 1_000_000, " " * 1_000_000, "a" * 1_000_000, "deadbeef0123456789abcdef " * 30_000, "token=abcdef1 " * 30_000, "x1y2z3" * 40_000, "a-" * 500_000 + "a1", "x" * 1_000_000 + "1Y", "a/" * 500_000, "ab_" * 300_000, "0" * 1_000_000 + "Y"])
 def test_long_texts_take_bounded_time(documents, text):
     """Gaps, runs and matches without number: spans, words and containment."""
     before = time.time()
