@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.functions.dates import moment, not_expired, stamp
 from bidweave.functions.text import blank_to_null, has_any, joined
 from bidweave.operators import filters as f
-from bidweave.operators import merge
+from bidweave.operators import merge, text_index
 from bidweave.plans.registry import Tables, any_sql, query
 from bidweave.schemas import DOMAINS, ordinal
+from bidweave.storage import scratch_folder
 
 PAGE_SQL = """
 SELECT p_partkey, p_name, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS pos, (SELECT count(*) FROM part WHERE {w}) AS total
@@ -23,6 +27,20 @@ def search_page(t: Tables):
     return f.page(hits, [F.desc("p_retailprice"), F.asc("p_partkey")], number=2).select("p_partkey", "p_name", "pos", "total")
 
 
+@query("FLT01 FLT06", r"""SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%d b\_t%' ESCAPE '\' OR p_brand ILIKE '%d b\_t%' ESCAPE '\' OR p_name ILIKE '%d _olt%' OR p_brand ILIKE '%d _olt%' OR p_name ILIKE '%brand#2%' OR p_brand ILIKE '%brand#2%'""")
+def indexed_search(t: Tables):
+    """Searches through the stored trigrams of names and brands; each row comes once, whatever terms find it."""
+    index = text_index.build(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey", ["p_name", "p_brand"], scratch_folder(t.spark))
+    found = [text_index.search(t.spark, index, term) for term in ("d b\\_t", "d _olt", "Brand#2")]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+@query("FLT01", "SELECT doc_id, n_chars FROM documents WHERE text ILIKE '%license, version%'")
+def indexed_documents(t: Tables):
+    index = text_index.build(t.documents.select("doc_id", "text", "n_chars"), "doc_id", ["text"], scratch_folder(t.spark))
+    return text_index.search(t.spark, index, "license, version").select("doc_id", "n_chars")
+
+
 @query("AGG01 SRT02", "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM part WHERE p_name ILIKE '%a%'")
 def search_page_total(t: Tables):
     return f.matching(t.part, f.any_ilike("a", "p_name")).agg(F.count("*").alias("total"), F.ceil(F.count("*") / 50.0).alias("pages"))
