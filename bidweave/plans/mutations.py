@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidweave.operators import merge, rollups
+from bidweave.operators import bucketed, merge, rollups
 from bidweave.plans.registry import Tables, query
 from bidweave.sources.registry import inline
+from bidweave.storage import scratch_folder
 
 
 @query("SNK01 SNK02 SNK14", "SELECT c_custkey, trim(CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_name ELSE c_name END) AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS notes, CASE WHEN c_custkey % 5 = 0 THEN 'regional' ELSE 'national' END AS tier FROM customer")
@@ -24,8 +25,11 @@ def patch_update(t: Tables):
     return merge.patched(state, patch, "c_custkey")
 
 
-@query("SNK05 SNK06", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'changed' END WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN 'changed' ELSE c_name END AS title,
-CASE WHEN c_custkey % 2 = 0 THEN 'pursue' ELSE 'monitor' END AS tag FROM customer""")
+UPSERT_SQL = """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'changed' END WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN 'changed' ELSE c_name END AS title,
+CASE WHEN c_custkey % 2 = 0 THEN 'pursue' ELSE 'monitor' END AS tag FROM customer"""
+
+
+@query("SNK05 SNK06", UPSERT_SQL)
 def keyed_upsert(t: Tables):
     """State: even keys. Change: odd keys (new) and multiples of three; a null title keeps the old one, a tag stays."""
     k = F.col("c_custkey")
@@ -34,6 +38,16 @@ def keyed_upsert(t: Tables):
     return merge.upserted(state, change, "id", keep=["tag"])
 
 
+@query("SNK05 SNK06", UPSERT_SQL)
+def bucketed_upsert(t: Tables):
+    """The same change, on a stored state of which it rewrites the buckets that it touches."""
+    k = F.col("c_custkey")
+    rows = t.customer.where(k % 2 == 0).select(k.alias("id"), F.col("c_name").alias("title"), F.lit("pursue").alias("tag"))
+    state = bucketed.BucketedState.create(rows, scratch_folder(t.spark) + "/state", ["id"], 16)
+    state.upsert(t.customer.where((k % 2 == 1) | (k % 3 == 0)).select(k.alias("id"), F.when(k % 5 == 0, F.lit(None)).otherwise("changed").alias("title"), F.lit("monitor").alias("tag")), keep=["tag"])
+    return state.read(t.spark)
+
+
 @query("SNK08 SNK13", "SELECT event_type AS key, arg_max(user_id, event_id) AS value, 'b=2,' || event_type || '=9' AS times FROM events GROUP BY 1")
 def kv_upsert(t: Tables):
     last = merge.last_values(t.events.select(F.col("event_type").alias("key"), F.col("user_id").alias("value"), "event_id"), "key", "event_id").drop("event_id")
@@ -42,7 +56,10 @@ def kv_upsert(t: Tables):
     return last.select("key", "value", F.array_join(F.transform(fresh, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("times"))
 
 
-@query("SNK10", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') UNION ALL SELECT -o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0")
+REPLACE_SQL = "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') UNION ALL SELECT -o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0"
+
+
+@query("SNK10", REPLACE_SQL)
 def partition_overwrite(t: Tables):
     state = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
     fresh = state.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0").withColumn("o_orderkey", -F.col("o_orderkey"))
@@ -50,6 +67,16 @@ def partition_overwrite(t: Tables):
     return merge.replaced_partitions(state, fresh, ["o_orderstatus", "o_orderpriority"], touched).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
+@query("SNK10", REPLACE_SQL)
+def bucketed_refresh(t: Tables):
+    """The same replacement on a stored state: only the bucket of the replaced keys is written."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    state = bucketed.BucketedState.create(rows, scratch_folder(t.spark) + "/state", ["o_orderstatus", "o_orderpriority"], 16)
+    fresh = rows.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0").withColumn("o_orderkey", -F.col("o_orderkey"))
+    state.replace(fresh, rows.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"))
+    return state.read(t.spark)
+
+
 @query("SNK11 SNK09", "SELECT 'order' AS kind, o_orderkey AS key FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'line', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def cascade_delete(t: Tables):
     orders, lines = merge.cascaded(t.orders, t.lineitem, t.orders.where("o_orderstatus = 'P'"), "o_orderkey", "l_orderkey")

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bidweave.operators.merge import upserted
+from bidweave.operators.bucketed import BucketedState
 
 
-def stream_upserts(changes: DataFrame, state_path: str, key: str, checkpoint: str, keep: list[str] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Merges each micro-batch into the newest version of a state: version n+1 is a folder of its own.
+def stream_upserts(changes: DataFrame, state: BucketedState, checkpoint: str, keep: list[str] | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Merges each micro-batch into a bucketed state: it rewrites the buckets of its keys only, in place.
 
-    Versions are written by batch id, so a batch that is tried again overwrites its own output only."""
+    Of rows of one key in a batch the last one counts if ``prepare`` leaves one of each, as it must. A batch that is tried again changes nothing more."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        rows = prepare(batch) if prepare else batch
-        state = spark.read.parquet(f"{state_path}/v={number}")
-        upserted(state, rows, key, keep or ()).write.mode("overwrite").parquet(f"{state_path}/v={number + 1}")
+        # The batch is read more than once, to find its buckets and to merge them.
+        rows = (prepare(batch) if prepare else batch).persist()
+        try:
+            state.upsert(rows, keep or ())
+        finally:
+            rows.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

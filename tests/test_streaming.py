@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 
+from bidweave.operators.bucketed import BucketedState
 from bidweave.streaming.refresh import stream_upserts, windowed_counts
 
 
 def test_micro_batches_merge_into_a_state(spark, tmp_path, rows_of):
     schema = "id int, title string, tag string"
-    state, incoming = str(tmp_path / "state"), str(tmp_path / "in")
-    spark.createDataFrame([(1, "a", "pursue")], schema).write.parquet(f"{state}/v=0")
+    incoming = str(tmp_path / "in")
+    state = BucketedState.create(spark.createDataFrame([(1, "a", "pursue")], schema), str(tmp_path / "state"), ["id"], 8)
     spark.createDataFrame([(1, "b", "wait"), (2, "c", "brief")], schema).coalesce(1).write.mode("append").parquet(incoming)
     for version in (1, 2):
-        stream_upserts(spark.readStream.schema(schema).parquet(incoming), state, "id", str(tmp_path / "cp"), ["tag"]).awaitTermination(60)
+        stream_upserts(spark.readStream.schema(schema).parquet(incoming), state, str(tmp_path / "cp"), ["tag"]).awaitTermination(60)
         if version == 1:
-            assert rows_of(spark.read.parquet(f"{state}/v=1")) == [(1, "b", "pursue"), (2, "c", "brief")]
+            assert rows_of(state.read(spark)) == [(1, "b", "pursue"), (2, "c", "brief")]
             spark.createDataFrame([(2, None, "wait"), (3, "d", None)], schema).coalesce(1).write.mode("append").parquet(incoming)
-    assert rows_of(spark.read.parquet(f"{state}/v=2")) == [(1, "b", "pursue"), (2, "c", "brief"), (3, "d", None)]
+    assert rows_of(state.read(spark)) == [(1, "b", "pursue"), (2, "c", "brief"), (3, "d", None)]
 
 
 def test_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path, rows_of):
