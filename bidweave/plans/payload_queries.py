@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.plans.registry import Tables, query
 from bidweave.sources import finance, portals, registry, remote, searches, templates
+from bidweave.storage import scratch_folder
+from bidweave.streaming import tasks
 
 
 def _values(rows: list[tuple]) -> str:
@@ -131,16 +134,31 @@ def upload_statuses(t: Tables):
     return t.part.select("p_partkey", remote.upload_status(size).alias("status"))
 
 
-@query("SRC31 SRC33", """SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 100 > 60 THEN 'timed out' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'done' END AS status,
-CASE WHEN event_id % 7 <> 0 AND event_id % 100 <= 60 AND event_id % 5 <> 0 AND event_id % 3 <> 0 THEN event_id % 90 END::INTEGER AS score FROM events""")
-def task_outcomes(t: Tables):
-    """Robots' tasks with their outputs as far as they came in time, and the models' answers in them."""
+OUTCOMES_SQL = """SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 100 > 60 THEN 'timed out' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'done' END AS status,
+CASE WHEN event_id % 7 <> 0 AND event_id % 100 <= 60 AND event_id % 5 <> 0 AND event_id % 3 <> 0 THEN event_id % 90 END::INTEGER AS score FROM events"""
+
+
+def _robot_tasks(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Starts of tasks, and their results: one of seven tasks has none, the others have two."""
     k = F.col("event_id")
-    tasks = t.events.select("event_id", F.col("ts").cast("timestamp").alias("started_at"))
+    starts = t.events.select("event_id", F.col("ts").cast("timestamp").alias("started_at"))
     later = lambda seconds: F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + seconds * 1_000_000)
     answer = F.when(k % 3 == 0, "no idea").otherwise(F.concat(F.lit('```json\n{"score": '), (k % 90).cast("string"), F.lit("}\n```")))
     one = t.events.where(k % 7 != 0)
     results = one.select("event_id", later(k % 100).alias("finished_at"), (k % 5 == 0).alias("failed"), answer.alias("output"))
     again = one.select("event_id", later(k % 100 + 1).alias("finished_at"), F.lit(False).alias("failed"), F.lit("late").alias("output"))
-    done = remote.task_results(tasks, results.unionByName(again), "event_id", remote.ROBOT_WAIT)
+    return starts, results.unionByName(again)
+
+
+@query("SRC31 SRC33", OUTCOMES_SQL)
+def task_outcomes(t: Tables):
+    """Robots' tasks with their outputs as far as they came in time, and the models' answers in them."""
+    done = remote.task_results(*_robot_tasks(t), "event_id", remote.ROBOT_WAIT)
+    return done.select("event_id", "status", remote.model_reply(F.col("output"), "score int")["score"].alias("score"))
+
+
+@query("SRC31 SRC33", OUTCOMES_SQL)
+def task_timers(t: Tables):
+    """The same tasks as a stream, whose timers end them."""
+    done = tasks.outcomes_of(tasks.starts_and_results(*_robot_tasks(t), "event_id"), "event_id", remote.ROBOT_WAIT, scratch_folder(t.spark))
     return done.select("event_id", "status", remote.model_reply(F.col("output"), "score int")["score"].alias("score"))
