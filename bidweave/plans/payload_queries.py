@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.plans.registry import Tables, query
@@ -69,12 +69,15 @@ PORTAL_SQL = _values([(i, *row) for i, row in enumerate(portals.PORTALS)]) + " A
 TERM_SQL = _values(list(enumerate(portals.TERMS))) + " AS t(term, text)"
 
 
-@query("SRC26", f"""WITH b AS (SELECT tier AS batch, string_agg('site:' || domain, ' OR ' ORDER BY pos) AS sites FROM {PORTAL_SQL} GROUP BY tier)
-SELECT CAST(batch AS INTEGER) AS batch, CAST(term AS INTEGER) AS term, '(' || sites || ') ' || replace(text, '{{year}}', '2025') AS query FROM b, {TERM_SQL}
-UNION ALL SELECT 0, 0, '(' || string_agg('site:' || domain, ' OR ' ORDER BY pos) || ') "x ray" RFP OR solicitation OR bid 2025' FROM {PORTAL_SQL}""")
+@query("SRC26", f"""WITH b AS (SELECT tier AS batch, '(' || string_agg('site:' || domain, ' OR ' ORDER BY pos) || ') ' AS sites FROM {PORTAL_SQL} GROUP BY tier),
+q AS (SELECT batch, term, sites, text FROM b, {TERM_SQL} UNION ALL SELECT 0, 0, '(' || string_agg('site:' || domain, ' OR ' ORDER BY pos) || ') ', '"{{keywords}}" RFP OR solicitation OR bid {{year}}' FROM {PORTAL_SQL}),
+r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '  ' ELSE ' ' || s_name END AS keywords, 2020 + s_suppkey % 6 AS year FROM supplier)
+SELECT s_suppkey, CAST(batch AS INTEGER) AS batch, CAST(term AS INTEGER) AS term, sites || replace(replace(text, '{{keywords}}', trim(keywords)), '{{year}}', CAST(year AS VARCHAR)) AS query FROM r, q WHERE batch > 0 OR trim(keywords) <> ''""")
 def portal_searches(t: Tables):
-    """Site searches of every tier of the registry, the keywords' own search first."""
-    return portals.searches(t.spark, F.lit(2025), keywords=" x ray ", with_third=True)
+    """Site searches of every tier of the registry for each request, its keywords' own search first."""
+    k = F.col("s_suppkey")
+    requests = t.supplier.select(k, F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_name")).alias("keywords"), (k % 6 + 2020).alias("year"))
+    return portals.searches_of(requests, "keywords", "year", with_third=True).select("s_suppkey", "batch", "term", "query")
 
 
 @query("SRC26 PRJ05 JOI07", f"""WITH u AS (SELECT o_orderkey, 'www.' || coalesce(domain, 'none.example') AS host FROM orders LEFT JOIN {PORTAL_SQL} ON pos = o_orderkey % 26),
@@ -89,11 +92,30 @@ def portal_names(t: Tables):
     return named.select("o_orderkey", "portal", F.when(F.col("state") == "National", "Unknown").otherwise(F.concat("state", F.lit(" Government"))).alias("agency"))
 
 
-@query("SRC34", f"SELECT c AS state_code, n AS state_name, r AS region, p AS osha_state_plan FROM {_values(registry.STATES)} AS s(c, n, r, p)")
+STATE_SQL = f"{_values([(i, *row) for i, row in enumerate(registry.STATES)])} AS s(pos, c, n, r, p)"
+
+
+def _state_codes(key: str) -> Column:
+    """A state's code for each row, by its key."""
+    return F.get(F.array(*[F.lit(code) for code, *_ in registry.STATES]), (F.col(key) % len(registry.STATES)).cast("int"))
+
+
+@query("SRC34 SRC35", f"""WITH stored AS (SELECT pos, count(*) AS k FROM supplier JOIN {STATE_SQL} ON pos = s_suppkey % 51 WHERE s_acctbal > 0 AND s_suppkey % 51 < 40 GROUP BY 1)
+SELECT c AS state_code, CASE WHEN k IS NULL THEN n ELSE 'stored ' || c END AS state_name, CASE WHEN k IS NULL THEN r END AS region, coalesce(k, 0) AS suppliers FROM {STATE_SQL} LEFT JOIN stored USING (pos)""")
 def seed_states(t: Tables):
-    """Every row of the seed, also where some are stored already."""
-    known = registry.states(t.spark)
-    return registry.seeded(known.where("region = 'South'"), known, "state_code")
+    """States that suppliers are stored with stay as they are; the seed adds the rest."""
+    rows = t.supplier.where("s_acctbal > 0 AND s_suppkey % 51 < 40").select(_state_codes("s_suppkey").alias("state_code"))
+    stored = rows.groupBy("state_code").agg(F.concat(F.lit("stored "), F.first("state_code")).alias("state_name"), F.lit(None).cast("string").alias("region"), F.count("*").alias("suppliers"))
+    seed = registry.states(t.spark).select("state_code", "state_name", "region", F.lit(0).cast("bigint").alias("suppliers"))
+    return registry.seeded(stored, seed, "state_code")
+
+
+@query("SRC37", """SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_name END) AS value FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""")
+def effective_settings(t: Tables):
+    """Settings stored for customers, those of the environment from suppliers; blank ones are missing."""
+    db = t.customer.select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("value"))
+    env = t.supplier.select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.col("s_name")).alias("value"))
+    return registry.setting(db, env)
 
 
 @query("SRC28 AGG07 TOP04", """WITH k AS (SELECT *, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'C' || n_nationkey ELSE 'Q' || n_nationkey END AS c FROM nation), m AS (SELECT *, CASE WHEN c IS NULL THEN NULL ELSE 40.0 + n_nationkey END AS paid FROM k)
@@ -113,19 +135,25 @@ def committee_finance(t: Tables):
     return finance.finance_chain(search, "n_nationkey", "payload", ids.select("committee_id", wrap(cycles).alias("payload")), ids.select("committee_id", wrap(paid).alias("payload")))
 
 
-STATE_SQL = f"{_values(registry.STATES)} AS s(c, n, r, p)"
 TEMPLATE_SQL = _values([(b, i, q) for b, texts in templates.BUCKET_TEMPLATES.items() for i, q in enumerate(texts, 1)]) + " AS t(bucket, template, text)"
 
 
-@query("SRC39 SRC34", f"SELECT c AS state_code, bucket, CAST(template AS INTEGER) AS template, replace(text, '{{state}}', n) AS query FROM {STATE_SQL}, {TEMPLATE_SQL}")
+@query("SRC39 SRC34", f"SELECT s_suppkey, c AS state_code, bucket, CAST(template AS INTEGER) AS template, replace(text, '{{state}}', n) AS query FROM supplier JOIN {STATE_SQL} ON pos = s_suppkey % 51, {TEMPLATE_SQL}")
 def bucket_queries(t: Tables):
-    """All templates of all buckets, for every state."""
-    return templates.bucket_queries(registry.states(t.spark)).select("state_code", "bucket", "template", "query")
+    """All templates of all buckets, for the state of every supplier."""
+    located = t.supplier.select("s_suppkey", _state_codes("s_suppkey").alias("state_code")).join(registry.states(t.spark).select("state_code", "state_name"), "state_code")
+    return templates.bucket_queries(located).select("s_suppkey", "state_code", "bucket", "template", "query")
+
+
+CHANNEL_SQL = _values([(i, c, n, q) for i, (c, texts) in enumerate(templates.CHANNEL_QUERIES.items()) for n, q in enumerate(texts, 1)]) + " AS t(pos, channel, template, query)"
 
 
-@query("SRC39", f"SELECT channel, CAST(template AS INTEGER) AS template, query FROM {_values([(c, i, q) for c, texts in templates.CHANNEL_QUERIES.items() for i, q in enumerate(texts, 1)])} AS t(channel, template, query)")
+@query("SRC39", f"SELECT o_orderkey, channel, CAST(template AS INTEGER) AS template, query FROM orders JOIN {CHANNEL_SQL} ON pos = o_orderkey % 5")
 def channel_queries(t: Tables):
-    return templates.channel_queries(t.spark)
+    """What is asked for each order in its channel; every fifth one has a channel without queries."""
+    names = F.array(*[F.lit(c) for c in templates.CHANNEL_QUERIES])
+    requests = t.orders.select("o_orderkey", F.coalesce(F.get(names, (F.col("o_orderkey") % 5).cast("int")), F.lit("other")).alias("channel"))
+    return templates.channel_searches(requests, "channel").select("o_orderkey", "channel", "template", "query")
 
 
 @query("SRC07", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'no file' WHEN p_size * 524288 > 10485760 THEN 'too large' ELSE 'accepted' END AS status FROM part")

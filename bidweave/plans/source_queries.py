@@ -33,10 +33,10 @@ def csv_rejects(t: Tables):
     return csv_import.to_records(csv_import.parse_lines(rows, "csv", ["name", "agency"], ["line"]), "line", moment("2025-01-01"))[1]
 
 
-@query("SRC13", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)[1:5] AS b FROM pages)
+@query("SRC13", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS b FROM pages)
 SELECT page_id, CAST(i AS INTEGER) AS pos, regexp_extract(b[i], '(?i)href="([^"]*)"', 1) AS link, trim(regexp_extract(b[i], '(?is)<a[^>]*>(.*?)</a>', 1)) AS title FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS i FROM x)""")
 def item_blocks(t: Tables):
-    blocks = F.slice(F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1)), 1, 5)
+    blocks = F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
     rows = t.pages.select("page_id", F.posexplode(blocks).alias("pos", "b"))
     return rows.select("page_id", (F.col("pos") + 1).alias("pos"), F.regexp_extract("b", r'(?i)href="([^"]*)"', 1).alias("link"), feeds.tag(F.col("b"), "a").alias("title"))
 
@@ -193,6 +193,9 @@ def discovery_pipeline(t: Tables):
     return top.select("page_id", "host", text.url_id("url").alias("id"), "score", rules.action_tag(F.col("score")).alias("tag"), "pos")
 
 
-@query("SRC32", "SELECT 'tango' AS source, 'source not available' AS message UNION ALL SELECT 'bidnet', 'source not available'")
+@query("SRC32", "SELECT o_orderkey, ['tango', 'bidnet', 'serper'][o_orderkey % 3 + 1] AS source, 'source not available' AS message FROM orders WHERE o_orderkey % 3 < 2")
 def source_errors(t: Tables):
-    return registry.unavailable(t.spark, "tango", "source not available")[1].unionByName(registry.unavailable(t.spark, "bidnet", "source not available")[1])
+    """Requests to three sources, of which two always fail."""
+    source = F.get(F.array(F.lit("tango"), F.lit("bidnet"), F.lit("serper")), (F.col("o_orderkey") % 3).cast("int"))
+    stubs = {"tango": "source not available", "bidnet": "source not available"}
+    return registry.source_errors(t.orders.select("o_orderkey", source.alias("source")), "source", stubs).select("o_orderkey", "source", "message")

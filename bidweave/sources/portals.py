@@ -50,18 +50,25 @@ def portals(spark: SparkSession) -> DataFrame:
     return inline(spark, "pos int, domain string, name string, state string, tier int", [(i, *row) for i, row in enumerate(PORTALS)])
 
 
+def searches_of(requests: DataFrame, keywords: str, year: str, with_third: bool = False) -> DataFrame:
+    """The searches of each request, beside its columns: batch, term, query. Its keywords over all portals come first (batch 0), if it has any, then every
+    term for the portals of each tier. The searches, some fifteen for any request, are constants."""
+    known = portals(requests.sparkSession).where(F.lit(with_third) | (F.col("tier") < 3))
+    sites = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))), lambda p: F.concat(F.lit("site:"), p["domain"])), " OR ")
+    own = known.agg(F.lit(0).alias("batch"), sites.alias("sites"), F.array(F.lit(KEYWORD_TERM)).alias("terms"))
+    batches = own.unionByName(known.groupBy(F.col("tier").alias("batch")).agg(sites.alias("sites"), F.array(*[F.lit(t) for t in TERMS]).alias("terms")))
+    rows = batches.select("batch", F.concat(F.lit("("), "sites", F.lit(") ")).alias("sites"), F.posexplode("terms").alias("term", "text"))
+    listed = rows.agg(F.collect_list(F.struct("batch", "term", "sites", "text"))).scalar()
+    asked = F.trim(F.coalesce(F.col(keywords), F.lit("")))
+    each = requests.withColumn("_s", F.explode(listed)).where((F.col("_s.batch") > 0) | (asked != ""))
+    text = F.replace(F.replace(F.col("_s.text"), F.lit("{keywords}"), asked), F.lit("{year}"), F.col(year).cast("string"))
+    return each.select(*requests.columns, "_s.batch", "_s.term", F.concat("_s.sites", text).alias("query"))
+
+
 def searches(spark: SparkSession, year: Column, keywords: str | None = None, with_third: bool = False) -> DataFrame:
-    """(batch, term, query): the keywords over all portals first, then every term for the portals of each tier."""
-    known = portals(spark).where(F.lit(with_third) | (F.col("tier") < 3))
-    sites = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))), lambda p: F.concat(F.lit("site:"), p["domain"]))  # noqa: E731, ARG005
-    by_tier = known.groupBy("tier").agg(sites(known).alias("sites")).withColumn("terms", F.array(*[F.lit(t) for t in TERMS]))
-    batches = by_tier.select(F.col("tier").alias("batch"), "sites", "terms")
-    if keywords and keywords.strip():
-        own = known.agg(F.lit(0).alias("batch"), sites(known).alias("sites"), F.array(F.lit(KEYWORD_TERM.replace("{keywords}", keywords.strip()))).alias("terms"))
-        batches = own.unionByName(batches)
-    rows = batches.select("batch", "sites", F.posexplode("terms").alias("term", "text"))
-    text = F.replace(F.col("text"), F.lit("{year}"), year.cast("string"))
-    return rows.select("batch", "term", F.concat(F.lit("("), F.array_join("sites", " OR "), F.lit(") "), text).alias("query"))
+    """(batch, term, query) of one request."""
+    request = spark.range(1).select(F.lit(keywords).cast("string").alias("_keywords"), year.alias("_year"))
+    return searches_of(request, "_keywords", "_year", with_third).select("batch", "term", "query")
 
 
 def portal_of(url: Column, part: str = "name", default: str = "State Portal") -> Column:

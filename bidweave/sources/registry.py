@@ -136,3 +136,9 @@ def unavailable(spark: SparkSession, name: str, message: str) -> tuple[DataFrame
 
     rows = spark.createDataFrame([], CANONICAL)
     return rows, inline(spark, "source string, message string", [(name, message)])
+
+
+def source_errors(requests: DataFrame, source: str, stubs: dict[str, str]) -> DataFrame:
+    """The requests to sources that can't be asked, each with the source's message; requests to other sources have no error."""
+    known = inline(requests.sparkSession, f"{source} string, message string", list(stubs.items()))
+    return requests.join(known, source)

@@ -130,3 +130,8 @@ def bucket_queries(states: DataFrame, state_name: str = "state_name", buckets: l
 def channel_queries(spark: SparkSession) -> DataFrame:
     """(channel, template, query)."""
     return _listed(spark, CHANNEL_QUERIES, "channel").select("channel", "template", F.col("text").alias("query"))
+
+
+def channel_searches(requests: DataFrame, channel: str) -> DataFrame:
+    """Each request with the queries of its channel: template, query. A channel without any leaves no row."""
+    return requests.join(channel_queries(requests.sparkSession).withColumnRenamed("channel", channel), channel)
