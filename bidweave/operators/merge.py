@@ -73,6 +73,22 @@ def written_back(parents: DataFrame, rolled: DataFrame, key: str, columns: Itera
     return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in chosen else F.col(c) for c in parents.columns])
 
 
+def signed_deltas(changes: DataFrame, before: str, after: str) -> DataFrame:
+    """(parent, delta) of changed children: each counts one less where it was, one more where it is now.
+
+    A null ``before`` is an insert, a null ``after`` a delete, two parents a move; one that stays where it is changes nothing."""
+    sides = F.array(F.struct(F.col(before).alias("parent"), F.lit(-1).alias("by")), F.struct(F.col(after).alias("parent"), F.lit(1).alias("by")))
+    moved = changes.select(F.explode(sides).alias("s")).select("s.*").where("parent IS NOT NULL")
+    return moved.groupBy("parent").agg(F.sum("by").alias("delta")).where("delta <> 0")
+
+
+def counts_maintained(parents: DataFrame, deltas: DataFrame, key: str, count: str) -> DataFrame:
+    """Stored counts with the deltas added, instead of counting all children again; a missing count is 0. Deltas of unknown parents go nowhere."""
+    joined = parents.join(deltas.withColumnRenamed("parent", "_parent"), F.col(key) == F.col("_parent"), "left")
+    fresh = F.coalesce(F.col(count), F.lit(0)) + F.coalesce("delta", F.lit(0))
+    return joined.select(*[fresh.cast(parents.schema[count].dataType).alias(c) if c == count else F.col(c) for c in parents.columns])
+
+
 def set_key(old: Column, key: Column, value: Column) -> Column:
     """A map with one key set."""
     return F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(key, value))

@@ -90,6 +90,20 @@ def rollup_writeback(t: Tables):
     return merge.written_back(parents, rolled, "c_custkey", ["n", "last"])
 
 
+@query("SNK12 AGG01", """SELECT c_custkey, count(parent) AS n FROM customer LEFT JOIN (SELECT CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN o_custkey + 1 ELSE o_custkey END AS parent FROM orders
+UNION ALL SELECT o_custkey FROM orders WHERE o_orderkey % 25 = 0) ON parent = c_custkey GROUP BY c_custkey""")
+def counts_after_changes(t: Tables):
+    """Stored counts of a customer's orders after deletes, moves and inserts: only the buckets of customers whose orders changed are written."""
+    k = F.col("o_orderkey")
+    counted = rollups.counted(t.customer.select("c_custkey"), t.orders, "c_custkey", "o_custkey").toDF("c_custkey", "n")
+    state = bucketed.BucketedState.create(counted, scratch_folder(t.spark) + "/state", ["c_custkey"], 16)
+    changed = t.orders.where(k % 10 < 2).select(F.col("o_custkey").alias("before"), F.when(k % 10 == 1, F.col("o_custkey") + 1).alias("after"))
+    added = t.orders.where(k % 25 == 0).select(F.lit(None).cast("bigint").alias("before"), F.col("o_custkey").alias("after"))
+    deltas = merge.signed_deltas(changed.unionByName(added), "before", "after")
+    state.apply(deltas.withColumnRenamed("parent", "c_custkey"), lambda stored, d: merge.counts_maintained(stored, d.withColumnRenamed("c_custkey", "parent"), "c_custkey", "n"))
+    return state.read(t.spark)
+
+
 @query("SNK15", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'found' END ELSE o_orderstatus END AS deadline, CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 3 = 0 THEN 'City' ELSE o_orderpriority END AS agency,
 CAST(CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS filled FROM orders""")
 def backfill_missing(t: Tables):

@@ -63,3 +63,14 @@ def test_the_state_is_read_by_bucket(spark, tmp_path):
     seen = []
     state.apply(customers(spark).limit(1), lambda old, new: (seen.append(plan(old)), merge.upserted(old, new, "id"))[1])
     assert "PartitionFilters: [isnotnull(_bucket" in seen[0] or "PartitionFilters: [_bucket" in seen[0]
+
+
+def test_maintained_counts_equal_a_recount(spark, tmp_path, rows_of):
+    """Inserts, deletes, moves, rows that stay, and parents that nobody knows."""
+    parents = spark.createDataFrame([(p, n) for p, n in ((1, 2), (2, 1), (3, 0), (4, None))], "id int, n long")
+    changes = spark.createDataFrame([(1, None), (1, 2), (None, 3), (None, 3), (2, 2), (None, 9), (9, 4), (None, None)], "was int, is int")
+    state = BucketedState.create(parents, str(tmp_path / "s"), ["id"], 8)
+    deltas = merge.signed_deltas(changes, "was", "is")
+    assert rows_of(deltas) == [(1, -2), (2, 1), (3, 2), (4, 1)]
+    hit = state.apply(deltas.withColumnRenamed("parent", "id"), lambda old, d: merge.counts_maintained(old, d.withColumnRenamed("id", "parent"), "id", "n"))
+    assert len(hit) <= 4 and rows_of(state.read(spark)) == [(1, 0), (2, 2), (3, 2), (4, 1)]
