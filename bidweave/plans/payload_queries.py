@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidweave.operators import neighbours
 from bidweave.plans.registry import Tables, query
 from bidweave.sources import finance, portals, registry, remote, searches, templates
 from bidweave.storage import scratch_folder
@@ -65,6 +66,15 @@ def provider_hits(t: Tables):
     return found[0].unionByName(found[1]).unionByName(found[2]).select("n_nationkey", "id", "title", "description", "url", "status", "score")
 
 
+@query("SRC22", """WITH p AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_inner_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[])) AS score
+FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, vec_id, CAST(floor(score * 1000000) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pos FROM p) WHERE pos <= 10""")
+def neural_search(t: Tables):
+    """The ten rows nearest to each query vector, those whose id is divisible by 100."""
+    found = neighbours.exact_nearest(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    return found.select(F.col("query").alias("query_id"), "pos", F.col("id").alias("vec_id"), F.floor(F.col("score") * 1_000_000).alias("score"))
+
+
 PORTAL_SQL = _values([(i, *row) for i, row in enumerate(portals.PORTALS)]) + " AS p(pos, domain, name, state, tier)"
 TERM_SQL = _values(list(enumerate(portals.TERMS))) + " AS t(term, text)"
 
