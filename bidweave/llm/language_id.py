@@ -1,7 +1,9 @@
 """Language identification in two levels.
 
-The family of a text's language is predicted first; inside a family, one-versus-one
-linear support vector machines tell the related languages apart. Features are hashed letter
+The family of a text's language is predicted first, by one linear support vector machine for each family; inside
+a family, one-versus-one machines tell the related languages apart. Languages of no known family are put
+into families of their likes, and no family has more than LARGEST_FAMILY members, so the weights grow with the languages, not with
+their pairs. Features are hashed letter
 trigrams as shares of a text's trigrams, so the score of a text is a mean of weights, and
 one pass of array operations scores a whole batch.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from bidweave.llm.byte_bpe import LETTER, classes
 from bidweave.llm.common import prepare, sliced, steps
 
-#: Language codes by family. A code that is missing here is a family of its own.
+#: Language codes by family. Codes that are missing here are grouped by their trigrams.
 FAMILIES = {
     "germanic": "en de nl af da sv no nb nn is fo fy lb yi",
     "romance": "fr es it pt ro ca gl oc",
@@ -38,15 +40,39 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BUCKETS = 1 << 16
 #: Documents of each language that are learned from, at most; the bound of the driver's work.
 PER_LANGUAGE = 400
-#: Languages that are learned, at most: those with most documents. Bounds the duels, whatever stands in the column of labels.
-MOST_LANGUAGES = 200
+#: Documents learned from over all languages: where there are more than SAMPLE_ROWS / PER_LANGUAGE of these, each gives less, but LEAST_ROWS.
+SAMPLE_ROWS, LEAST_ROWS = 40_000, 20
+#: Languages of one family, at most, and documents of other families that one is told from.
+LARGEST_FAMILY, RIVALS = 14, 3200
 #: Trigram shares are small; this factor brings margins to the order of one.
 SCALE = 30.0
 UNKNOWN = "und"
 
 
 def family_of(lang: str) -> str:
-    return FAMILY_OF.get(lang.lower().split("-")[0], f"={lang}")
+    return FAMILY_OF.get(lang.lower().split("-")[0], "")
+
+
+def alike(names: list[str], profiles: np.ndarray, largest: int) -> list[list[str]]:
+    """Groups of ``largest`` names at most: halves along the direction in which the profiles differ most, again and again."""
+    if len(names) <= largest:
+        return [names]
+    centred = profiles - profiles.mean(axis=0)
+    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+    half = len(names) // 2
+    return [g for part in (np.sort(order[:half]), np.sort(order[half:])) for g in alike([names[i] for i in part], profiles[part], largest)]
+
+
+def families_of(names: list[str], profiles: np.ndarray, largest: int) -> dict[str, list[str]]:
+    """Members of each family. Known families that are too large, and languages of none, are divided by their profiles."""
+    out: dict[str, list[str]] = {}
+    place = {n: i for i, n in enumerate(names)}
+    for family, own in groupby(sorted(names, key=family_of), key=family_of):
+        members = sorted(own)
+        groups = alike(members, profiles[[place[n] for n in members]], largest)
+        for group in groups:
+            out[family if family and len(groups) == 1 else f"{family}={group[0]}"] = group
+    return dict(sorted(out.items()))
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,13 +95,13 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _means(weights: np.ndarray, hashed: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Mean of the weights' rows over each text's trigrams; zero without any."""
-    sums = np.zeros((len(edges) - 1, weights.shape[1]))
+    """Mean of each machine's weights over each text's trigrams; zero without any."""
+    sums = np.zeros((len(edges) - 1, len(weights)))
     counts = np.diff(edges)
     some = np.flatnonzero(counts)
     if len(some):
-        for j in range(weights.shape[1]):
-            sums[some, j] = np.add.reduceat(weights[:, j][hashed].astype(np.float64), edges[:-1][some])
+        for j, own in enumerate(weights):
+            sums[some, j] = np.add.reduceat(own[hashed].astype(np.float64), edges[:-1][some])
     return sums / np.maximum(counts, 1)[:, None]
 
 
@@ -97,29 +123,35 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, cost:
     return weights, bias
 
 
+def _none() -> np.ndarray:
+    return np.zeros((0, BUCKETS), np.float32)
+
+
+def _chance(margins: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(2.0 * margins, -30, 30)))
+
+
 @dataclass
 class Model:
-    """families: names in order; duels: (level, left, right) of each column of weights."""
+    """families: names in order, with a machine each; duels: (left, right) of each machine inside a family; rows of weights are machines."""
 
     families: list[str] = field(default_factory=list)
     members: dict[str, list[str]] = field(default_factory=dict)
-    duels: list[tuple[str, str, str]] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 0), np.float32))
-    bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def _winner(self, level: str, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the name that wins most duels (ties: larger margins, then first), and its weakest chance."""
-        n = len(margins)
-        if len(names) == 1:
-            return np.zeros(n, np.int64), np.ones(n)
+    family_weights: np.ndarray = field(default_factory=_none)
+    family_bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    duels: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    bias: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def _winner(self, family: str, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the member that wins most duels (ties: larger margins, then first), and its weakest chance."""
+        names, n = self.members[family], len(margins)
         wins, total = np.zeros((n, len(names))), np.zeros((n, len(names)))
         chance = np.ones((n, len(names)))
-        for j, (lv, a, b) in enumerate(self.duels):
-            if lv != level:
-                continue
+        for j, (a, b) in enumerate(self.duels[family]):
             ia, ib = names.index(a), names.index(b)
             m = margins[:, j]
-            p = 1.0 / (1.0 + np.exp(-np.clip(2.0 * m, -30, 30)))
+            p = _chance(m)
             wins[:, ia] += m >= 0
             wins[:, ib] += m < 0
             total[:, ia] += m
@@ -130,19 +162,28 @@ class Model:
         return best, chance[np.arange(n), best]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not texts or not self.families:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return langs, scores
         hashed, edges, letters = _trigrams(texts)
-        margins = _means(self.weights, hashed, edges) * SCALE + self.bias
-        top, sure = self._winner("", self.families, margins)
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if len(self.families) == 1:
+            top, sure = np.zeros(len(texts), np.int64), np.ones(len(texts))
+        else:
+            margins = _means(self.family_weights, hashed, edges) * SCALE + self.family_bias
+            top, sure = margins.argmax(axis=1), _chance(margins.max(axis=1))
+        counts = np.diff(edges)
         for f, family in enumerate(self.families):
-            rows = np.flatnonzero((top == f) & (letters > 0))
-            if len(rows):
-                names = self.members[family]
-                won, p = self._winner(family, names, margins[rows])
-                for r, w, x in zip(rows.tolist(), won.tolist(), (p * sure[rows]).tolist()):
-                    langs[r], scores[r] = names[w], x
+            own = (top == f) & (letters > 0)
+            rows = np.flatnonzero(own)
+            if not len(rows):
+                continue
+            won, p = np.zeros(len(rows), np.int64), np.ones(len(rows))
+            if len(self.members[family]) > 1:
+                # Only the duels of the family are fought, over the trigrams of its texts.
+                inside = _means(self.weights[family], hashed[np.repeat(own, counts)], np.append(0, np.cumsum(counts[rows])))
+                won, p = self._winner(family, inside * SCALE + self.bias[family])
+            for r, w, x in zip(rows.tolist(), won.tolist(), (p * sure[rows]).tolist()):
+                langs[r], scores[r] = self.members[family][w], x
         return langs, scores
 
 
@@ -153,23 +194,24 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from a sample of ``per_language`` rows of each language at most that aren't held out.
+    """Learns from a sample of ``per_language`` rows of each language at most that aren't held out; less
+    where many languages share SAMPLE_ROWS.
 
-    Rows with a null language or text are not learned from, nor are languages beyond the MOST_LANGUAGES commonest. The sample is by hash of the id, so it is the same in
+    Rows with a null language or text are not learned from. Every language that has a row with a letter trigram is learned, however many there are. The sample is by hash of the id, so it is the same in
     every run; one pass counts the languages, another takes the rows that a hash threshold
     picks, so no language's rows are sorted or gathered. An empty sample gives a model
-    that knows no language."""
-    prepare(docs.sparkSession)
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    common = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MOST_LANGUAGES)
-    counts = {r[0]: r[1] for r in common.collect()}
+    that knows no language. Long texts are read whole. The driver holds the sample and the model, both in proportion to the number of languages."""
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model()
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, 1.3 * per_language / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    sample = rows.where(draw < share).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    per_language = min(per_language, max(LEAST_ROWS, SAMPLE_ROWS // len(counts)))
+    # Small shares are taken a little larger, so that a language rarely gets less than its rows by chance.
+    wanted = spark.createDataFrame([(lang, min(1.0, (1.3 * per_language + 12) / n)) for lang, n in counts.items()], "lang string, share double")
+    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) / 1_000_003
+    sample = rows.join(F.broadcast(wanted), "lang").where(draw < F.col("share")).select("lang", draw.alias("draw"), "text")
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -190,27 +232,42 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for i in order:
         if taken.get(langs[i], 0) < per_language and len(at[i]):
             taken[langs[i]] = taken.get(langs[i], 0) + 1
-            rows_of.append((langs[i], (at[i].values.to_numpy().astype(np.int64), value[i].values.to_numpy().astype(np.float64))))
+            rows_of.append((langs[i], (at[i].values.to_numpy(), value[i].values.to_numpy().astype(np.float64))))
     model = Model()
-    for lang in sorted(taken):
-        model.members.setdefault(family_of(lang), []).append(lang)
-    model.families = sorted(model.members)
-    columns, biases = [], []
-
-    def duel(level: str, a: str, b: str, label) -> None:
-        picked = [(x, 1.0 if label(lang) == a else -1.0) for lang, x in rows_of if label(lang) in (a, b)]
-        w, c = fit_svm([x for x, _ in picked], np.array([t for _, t in picked]))
-        model.duels.append((level, a, b))
-        columns.append(w.astype(np.float32))
-        biases.append(c)
-
-    for a, b in combinations(model.families, 2):
-        duel("", a, b, family_of)
-    for family in model.families:
-        for a, b in combinations(model.members[family], 2):
-            duel(family, a, b, lambda lang: lang)
-    if columns:
-        model.weights, model.bias = np.stack(columns, axis=1), np.array(biases)
+    if not taken:
+        return model
+    names = sorted(taken)
+    own = {lang: list(found) for lang, found in groupby(rows_of, key=lambda r: r[0])}
+    profiles = np.zeros((len(names), 512))
+    for p, lang in zip(profiles, names):
+        for _, (places, values) in own[lang]:
+            np.add.at(p, places % 512, values / len(own[lang]))
+    model.members = families_of(names, profiles, LARGEST_FAMILY)
+    model.families = list(model.members)
+
+    def machine(left: list, right: list) -> tuple[np.ndarray, float]:
+        # In order of languages on both sides, so that the machine of the other side is the mirror of this one.
+        both = sorted([(lang, i, x, 1.0) for i, (lang, x) in enumerate(left)] + [(lang, i, x, -1.0) for i, (lang, x) in enumerate(right)], key=lambda r: r[:2])
+        w, c = fit_svm([x for _, _, x, _ in both], np.array([t for *_, t in both]))
+        return w.astype(np.float32), c
+
+    def machines(sides: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray]:
+        weights, bias = np.zeros((len(sides), BUCKETS), np.float32), np.zeros(len(sides))
+        for j, (left, right) in enumerate(sides):
+            weights[j], bias[j] = machine(left, right)
+        return weights, bias
+
+    if len(model.families) > 1:
+        sides = []
+        for members in model.members.values():
+            held = set(members)
+            rest = [r for r in rows_of if r[0] not in held]
+            sides.append(([r for lang in members for r in own[lang]], rest[:: -(-len(rest) // RIVALS)]))
+        model.family_weights, model.family_bias = machines(sides)
+    for family, members in model.members.items():
+        if len(members) > 1:
+            model.duels[family] = list(combinations(members, 2))
+            model.weights[family], model.bias[family] = machines([(own[a], own[b]) for a, b in model.duels[family]])
     return model
 
 
@@ -218,10 +275,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """Adds lang_pred and score to the id column, held_out and the columns named by ``keep``.
 
     Only the text decides. Null and letterless texts, and any text if the model knows no
-    language, are ``und`` with score 0. Repeated rows each give a row; an empty table gives none."""
+    language, are ``und`` with score 0. Whole texts are read, however long. Repeated rows each give a row; an empty table gives none."""
     prepare(docs.sparkSession)
     kept = keep or []
-    # One copy for each executor: the weights of all duels may be large.
+    # One copy for each executor: the weights of all machines may be large.
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(F.col(id_col).alias("_key"), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
 

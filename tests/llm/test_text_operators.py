@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ def test_language_edges(documents, edges):
 
 def test_one_language_needs_no_duel(documents):
     model = language_id.fit(documents([(i, "hello there world") for i in range(20)], {i: "en" for i in range(20)}))
-    assert model.duels == []
+    assert model.duels == {} and len(model.family_weights) == 0
     assert language_id.predict(documents([(1, "anything")]), model).first()["lang_pred"] == "en"
 
 
@@ -61,14 +63,16 @@ def brute_languages(model, texts):
         for a, b, c in grams:
             x = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
             at.append(((x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16)
+        margin = lambda w, bias: sum(float(w[g]) for g in at) / max(1, len(at)) * language_id.SCALE + bias  # noqa: B023, E731
+        family = max(model.families, key=lambda f: margin(model.family_weights[i := model.families.index(f)], model.family_bias[i]))  # noqa: B023
         won = {}
-        for j, (level, left, right) in enumerate(model.duels):
-            margin = sum(float(model.weights[g, j]) for g in at) / max(1, len(at)) * language_id.SCALE + model.bias[j]
-            for name, m, w in ((left, margin, margin >= 0), (right, -margin, margin < 0)):
-                wins, total = won.get((level, name), (0, 0.0))
-                won[level, name] = (wins + w, total + m)
-        pick = lambda level, names: max(names, key=lambda n: won.get((level, n), (0, 0.0)))  # noqa: B023, E731
-        out.append(pick(family := pick("", model.families), model.members[family]) if any(c != " " for c in own) else "und")
+        for j, (left, right) in enumerate(model.duels.get(family, [])):
+            own_margin = margin(model.weights[family][j], model.bias[family][j])
+            for name, m, w in ((left, own_margin, own_margin >= 0), (right, -own_margin, own_margin < 0)):
+                wins, total = won.get(name, (0, 0.0))
+                won[name] = (wins + w, total + m)
+        winner = max(model.members[family], key=lambda n: won.get(n, (0, 0.0)))  # noqa: B023
+        out.append(winner if any(c != " " for c in own) else "und")
     return out
 
 
@@ -76,14 +80,32 @@ def test_duels_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs)
     rows = [(r["doc_id"], (r["text"] or "")[:2000]) for r in docs.collect()]
-    assert model.predict([t for _, t in rows])[0] == brute_languages(model, [t for _, t in rows]) and len(model.duels) == 3
+    assert model.predict([t for _, t in rows])[0] == brute_languages(model, [t for _, t in rows])
+    assert len(model.families) == 2 and sum(map(len, model.duels.values())) == 2
 
 
-def test_languages_are_bounded_by_the_commonest(documents, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
-    rows = [(i, "the and of house" if i % 2 else "der die das haus") for i in range(60)] + [(100 + i, "le la les maison") for i in range(9)]
-    model = language_id.fit(documents(rows, {i: "fr" if i >= 100 else "en" if i % 2 else "de" for i, _ in rows}))
-    assert sorted(n for names in model.members.values() for n in names) == ["de", "en"]
+def test_hundreds_of_languages_are_all_learned(spark):
+    """300 invented languages of 40 words each: all are learned, told apart on rows not learned from, and the weights grow with the languages."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 7)))
+    words = {f"q{i}": [word() for _ in range(40)] for i in range(300)}
+    rows = [(i, " ".join(draw.choices(words[f"q{i % 300}"], k=30)), f"q{i % 300}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert sorted(n for names in model.members.values() for n in names) == sorted(words)
+    assert max(map(len, model.members.values())) <= language_id.LARGEST_FAMILY
+    machines = len(model.family_weights) + sum(map(len, model.weights.values()))
+    assert machines < 8 * 300 and machines * language_id.BUCKETS * 4 < 1 << 30
+    out = language_id.predict(docs, model, keep=["lang"]).where("held_out").toPandas()
+    assert (out.lang == out.lang_pred).mean() > 0.95
+
+
+def test_families_are_divided_by_likeness():
+    profiles = np.array([[float(i % 2), 0.0] for i in range(8)])
+    names = [f"z{i}" for i in range(8)]
+    assert sorted(map(sorted, language_id.alike(names, profiles, 4))) == [["z0", "z2", "z4", "z6"], ["z1", "z3", "z5", "z7"]]
+    found = language_id.families_of(["en", "de", "fr", *names], np.concatenate([np.zeros((3, 2)), profiles]), 4)
+    assert found == {"=z0": ["z0", "z2", "z4", "z6"], "=z1": ["z1", "z3", "z5", "z7"], "germanic": ["de", "en"], "romance": ["fr"]}
 
 
 # --- decontamination ------------------------------------------------------------------------------
