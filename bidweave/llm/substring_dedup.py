@@ -31,8 +31,9 @@ KMER, WINDOW = 5, 10
 LONG, LONG_WINDOW = 25, 26
 #: Words that one step of an extension looks at; a step in which less than GOOD of them match is the last.
 MARGIN, GOOD = 64, 0.5
-#: A chain of few words is aligned if near its first seed LIKELY of ``min_words`` words in a row match one that lies up to SHIFT words off.
-LIKELY, SHIFT = 0.6, 3
+#: A chain of few words is aligned if near its first seed LIKELY of ``min_words`` words in a row match one that lies up to SHIFT words off,
+#: or, with a neighbour, up to DRIFT: words that one text lacks move what follows, and two in a row are rarely equal by chance.
+LIKELY, SHIFT, DRIFT = 0.6, 3, 14
 #: Cost of each word that a chain skips, in words.
 GAP_COST = 0.2
 #: Beyond a chain's ends, what a matching word gains and a skipped one costs; changed words cost nothing there.
@@ -434,16 +435,23 @@ def parts(xs: np.ndarray, ys: np.ndarray, least: int, identity: float) -> list[t
 
 
 def likely(seeds_at: list[tuple[int, int]], texts: list[tuple[np.ndarray, np.ndarray]], least: int) -> np.ndarray:
-    """Which pairs have many matching words near their seeds, at the same distance from them but for SHIFT words. All pairs at once."""
+    """Which pairs have many matching words near their seeds, at the same distance from them but for SHIFT words,
+    or for DRIFT words where a neighbour matches at the same distance too. All pairs at once."""
     width = 2 * least + KMER
-    a, b = np.full((len(texts), width), -1, np.int64), np.full((len(texts), width + 2 * SHIFT), -2, np.int64)
+    a, b = np.full((len(texts), width), -1, np.int64), np.full((len(texts), width + 2 * DRIFT), -2, np.int64)
     for row, ((sx, sy), (x, y)) in enumerate(zip(seeds_at, texts)):
-        for out, words, lo in ((a, x, sx - least), (b, y, sy - least - SHIFT)):
+        for out, words, lo in ((a, x, sx - least), (b, y, sy - least - DRIFT)):
             own = words[max(lo, 0) : max(lo + out.shape[1], 0)]
             out[row, max(-lo, 0) : max(-lo, 0) + len(own)] = own
     same = np.zeros(a.shape, bool)
-    for shift in range(2 * SHIFT + 1):
-        same |= a == b[:, shift : shift + width]
+    for shift in range(2 * DRIFT + 1):
+        equal = a == b[:, shift : shift + width]
+        if abs(shift - DRIFT) <= SHIFT:
+            same |= equal
+        else:
+            two = equal[:, 1:] & equal[:, :-1]
+            same[:, 1:] |= two
+            same[:, :-1] |= two
     total = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
     return (total[:, least:] - total[:, :-least]).max(axis=1, initial=0) >= LIKELY * least
 

@@ -305,6 +305,48 @@ def test_recall_of_changed_passages(documents):
     assert got == {(2 * i + 1, 2 * i) for i, (a, b) in enumerate(pairs) if has_passage(a, b)}
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence, cell by cell."""
+    row = [0] * (len(b) + 1)
+    for w in a:
+        corner = 0
+        for j, v in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if w == v else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def varied(rng, passage, kind, rate):
+    """The passage with words deleted, inserted or replaced at random, or by all three."""
+    out = []
+    for w in passage:
+        how = rng.choice(("delete", "insert", "replace")) if kind == "mixed" else kind
+        if rng.random() >= rate:
+            out.append(w)
+        elif how != "delete":
+            out += [*([w] if how == "insert" else []), *words(rng, 1, 3000)]
+    return out
+
+
+def test_recall_of_edits_against_common_subsequences(documents):
+    """Deletions, insertions, replacements and mixtures of 5 to 18 %; what a subsequence of 0.8 of at least 50 words proves must be found."""
+    rng = random.Random(77)
+    rows, want = [], {}
+    for kind in ("delete", "insert", "replace", "mixed"):
+        for rate in (0.05, 0.1, 0.15, 0.18):
+            for _ in range(25):
+                passage = words(rng, rng.randint(60, 90), 3000)
+                changed = varied(rng, passage, kind, rate)
+                if min(len(passage), len(changed)) >= 50 and common_words(passage, changed) >= 0.8 * max(len(passage), len(changed)):
+                    want[len(rows) + 1] = (kind, rate)
+                for text in (passage, changed):
+                    rows.append((len(rows), " ".join(words(rng, rng.randint(20, 80), 3000) + text + words(rng, 50, 3000))))
+    got = {(r["doc_id"], r["source_id"]) for r in passages_of(documents(rows))}
+    assert all(d == s + 1 and s % 2 == 0 for d, s in got)
+    for kind in ("delete", "insert", "replace", "mixed"):
+        own = [d for d, (k, _) in want.items() if k == kind]
+        assert len(own) > 60 and sum((d, d - 1) in got for d in own) >= 0.97 * len(own), kind
+
+
 def test_large_gaps_are_aligned_in_halves(monkeypatch):
     rng = random.Random(6)
     a, b = (np.array([rng.randrange(12) for _ in range(n)]) for n in (70, 90))
