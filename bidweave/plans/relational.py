@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bidweave.functions import rules
-from bidweave.operators import dedupe, joins, rollups
+from bidweave.operators import dedupe, entities, joins, rollups
 from bidweave.plans.registry import Tables, case_sql, query
 from bidweave.plans.search import HOST_SQL
 from bidweave.sources.registry import inline
@@ -49,6 +50,26 @@ def alias_join(t: Tables):
     return joins.by_alias(t.nation.select("n_nationkey", "n_name"), "n_name", dim, "aliases", "client").select("n_nationkey", "client")
 
 
+@query("JOI04 DED03", """WITH t AS (SELECT doc_id, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:4], ' ')), '[^a-z ]', '', 'g')) AS name FROM documents),
+n AS (SELECT name, count(*) AS n FROM t WHERE name <> '' GROUP BY 1),
+r AS (SELECT a.name, arg_min(b.name, struct_pack(n := -b.n, s := b.name)) AS entity, count(*) AS n_similar FROM n a JOIN n b ON 100 * levenshtein(a.name, b.name) <= 15 * greatest(length(a.name), length(b.name)) GROUP BY 1)
+SELECT doc_id, t.name, entity, n_similar FROM t LEFT JOIN r ON t.name = r.name""")
+def resolved_names(t: Tables):
+    """The opening words of each document as its name, resolved to the commonest similar one."""
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    return entities.resolved(t.documents.select("doc_id", F.trim(F.regexp_replace(F.lower(opening), "[^a-z ]", "")).alias("name")), "name")
+
+
+@query("JOI04 SRC36", """WITH k AS (SELECT p_partkey, p_name AS name FROM part), a AS (SELECT row_number() OVER (ORDER BY name) AS client, name || 's' AS alias FROM (SELECT DISTINCT p_name AS name FROM part)),
+m AS (SELECT k.name, min(struct_pack(e := levenshtein(k.name, alias), c := client)) AS best FROM (SELECT DISTINCT name FROM k) k JOIN a ON 100 * levenshtein(k.name, alias) <= 15 * greatest(length(k.name), length(alias)) GROUP BY 1)
+SELECT p_partkey, CAST(best.c AS INTEGER) AS client FROM k LEFT JOIN m ON k.name = m.name""")
+def similar_alias_join(t: Tables):
+    """Parts to clients whose aliases are spelled a little differently: here the parts' own names in the plural."""
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    clients = names.select(F.row_number().over(Window.orderBy("name")).alias("client"), F.array(F.concat("name", F.lit("s"))).alias("aliases"))
+    return entities.by_similar_alias(t.part.select("p_partkey", "p_name"), "p_name", clients, "aliases", "client").select("p_partkey", "client")
+
+
 @query("JOI05 SNK07", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def anti_insert(t: Tables):
     return joins.without_existing(t.customer.select("c_custkey"), t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bidweave.functions.dates import moment, not_expired, stamp
 from bidweave.functions.text import blank_to_null, has_any, joined
 from bidweave.operators import filters as f
-from bidweave.operators import merge, text_index
+from bidweave.operators import merge, pages, text_index
 from bidweave.plans.registry import Tables, any_sql, query
 from bidweave.schemas import DOMAINS, ordinal
 from bidweave.storage import scratch_folder
@@ -41,6 +41,21 @@ def indexed_documents(t: Tables):
     return text_index.search(t.spark, index, "license, version").select("doc_id", "n_chars")
 
 
+DEEP_ORDER = [("o_totalprice", True), ("o_orderkey", False)]
+
+
+@query("FLT01 SRT01 SRT02", "SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS pos, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 1200")
+def deep_page(t: Tables):
+    """A page far down, from the range of the order that it lies in; all rows are put into ranges first."""
+    stored = pages.store(t.orders.select("o_orderkey", "o_totalprice"), DEEP_ORDER, f"{scratch_folder(t.spark)}/orders")
+    return pages.page_at(t.spark, stored, number=25)
+
+
+@query("FLT01 SRT01 SRT02", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 150000 OR o_totalprice = 150000 AND o_orderkey > 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def page_after_row(t: Tables):
+    return pages.page_after(t.orders.select("o_orderkey", "o_totalprice"), DEEP_ORDER, [150000.0, 0])
+
+
 @query("AGG01 SRT02", "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM part WHERE p_name ILIKE '%a%'")
 def search_page_total(t: Tables):
     return f.matching(t.part, f.any_ilike("a", "p_name")).agg(F.count("*").alias("total"), F.ceil(F.count("*") / 50.0).alias("pages"))
