@@ -73,10 +73,16 @@ def _powers(base: int, count: int) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the lower-case words of a text: runs of letters and digits, in order.
+    """64-bit hashes of the lower-case words of a text: runs of letters and digits, in order."""
+    return words_of([text])[0]
 
-    Polynomials in the code points, as differences of one running sum over the text."""
-    lower = text.lower()
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of some texts, one text after the other, and how many words each has.
+
+    Polynomials in the code points, as differences of one running sum over all texts."""
+    lowers = [t.lower() for t in texts]
+    lower = "\n".join(lowers)
     try:  # one byte a character does for most texts
         raw = lower.encode("latin-1")
         points, kinds = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(_of_bytes()), bool)
@@ -87,13 +93,29 @@ def word_hashes(text: str) -> np.ndarray:
     inside[1:-1] = kinds
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     if not len(edges):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     starts, ends = edges[::2], edges[1::2]
     size = 1 << len(points).bit_length()
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(BASE, size)[: len(points)], out=sums[1:])
     own = (sums[ends] - sums[starts]) * _powers(INVERSE, size)[starts]
-    return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    own = mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    if len(texts) == 1:
+        return own, np.array([len(own)])
+    after = np.cumsum([len(t) + 1 for t in lowers])
+    return own, np.diff(np.searchsorted(starts, after), prepend=0)
+
+
+def together(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters, or of one longer text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(text) + 1
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from bidweave.llm.common import cut_lineage, prepare, sliced
 from bidweave.llm.components import loose
-from bidweave.llm.ngram_join import BROADCAST_ROWS, mix, word_hashes
+from bidweave.llm.ngram_join import BROADCAST_ROWS, mix, together, words_of
 
 #: Words of a short k-mer, and k-mers of which one is a seed.
 KMER, WINDOW = 5, 10
@@ -42,24 +42,26 @@ GAIN, SKIP = 10, 3
 CELLS = 1 << 22
 
 
-def seeds(own: np.ndarray, k: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a text's minimizers, by place."""
-    if len(own) < k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # A k-mer's hash is put together from those of its halves, quarters and so on.
+def _grams(own: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-mers, put together from those of their halves, quarters and so on."""
     grams, size = own, 1
     for bit in bin(k)[3:]:
         grams, size = _joined(grams, grams[size:], size), 2 * size
         if bit == "1":
             grams, size = _joined(own, grams[1:], size), size + 1
-    grams = mix(grams + np.uint64(k))
+    return mix(grams + np.uint64(k))
+
+
+def seeds(own: np.ndarray, k: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a text's minimizers, by place."""
+    if len(own) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams = _grams(own, k)
     if len(grams) <= window:
         at = np.array([int(grams.argmin())])
     else:
         least = _slid(np.minimum, grams, window)
-        ends = np.full(window - 1, 0, np.uint64)
-        # A k-mer is chosen if it is the least of some window, so if the largest of its windows' least is its own.
-        at = np.flatnonzero(grams == _slid(np.maximum, np.concatenate([ends, least, ends]), window))
+        at = _chosen(grams, least, window)
         if ((np.diff(at) < window) & (grams[at[1:]] == grams[at[:-1]])).any():
             # Repetitive words: among equal hashes the place decides, so one of ``window`` is taken there too.
             view = np.lib.stride_tricks.sliding_window_view(grams, window)
@@ -68,6 +70,38 @@ def seeds(own: np.ndarray, k: int = KMER, window: int = WINDOW) -> tuple[np.ndar
     return grams[at], at
 
 
+def _chosen(grams: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """Places of the k-mers that are the least of some window: the largest of its windows' least is its own hash."""
+    ends = np.zeros(window - 1, np.uint64)
+    return np.flatnonzero(grams == _slid(np.maximum, np.concatenate([ends, least, ends]), window))
+
+
+def seeds_of(own: np.ndarray, counts: np.ndarray, k: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and texts of the minimizers of some texts whose words follow each other, as ``seeds`` gives them.
+
+    The seeds of a text are together, by place."""
+    begin = np.cumsum(counts) - counts
+    alone = counts < k + window - 1
+    h = at = text = np.zeros(0, np.int64)
+    if not alone.all():
+        grams = _grams(own, k)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        # Windows that lie in two texts choose nothing.
+        least = np.where(owner[: len(owner) - (k + window - 2)] == owner[k + window - 2 :], _slid(np.minimum, grams, window), np.uint64(0))
+        at = _chosen(grams, least, window)
+        h, text = grams[at], owner[at]
+        again = (np.diff(at) < window) & (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+        alone[text[1:][again]] = True
+        kept = ~alone[text]
+        h, at, text = h[kept], at[kept] - begin[text[kept]], text[kept]
+    single = [(*seeds(own[begin[i] : begin[i] + counts[i]], k, window), i) for i in np.flatnonzero(alone)]
+    return (
+        np.concatenate([h.astype(np.uint64), *[x for x, _, _ in single]]),
+        np.concatenate([at, *[x for _, x, _ in single]]),
+        np.concatenate([text, *[np.full(len(x), i) for x, _, i in single]]),
+    )
+
+
 def _joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
     """Hashes of neighbours taken together, the right one of ``size`` words."""
     factor = np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64))
@@ -82,20 +116,18 @@ def _slid(best: np.ufunc, values: np.ndarray, window: int) -> np.ndarray:
     return best(values[: len(values) - (window - size)], values[window - size :]) if size < window else values
 
 
-def all_seeds(own: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Short and long seeds of a text for passages of ``least`` words."""
+def all_seeds(own: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Short and long seeds of some texts for passages of ``least`` words: hashes, places and texts."""
     k = LONG if least >= LONG + LONG_WINDOW - 1 else max(KMER + 1, least // 2)
-    long_h, long_at = seeds(own, k, LONG_WINDOW if k == LONG else max(1, least - k + 1))
-    short_h, short_at = seeds(own)
-    return np.concatenate([short_h, long_h]), np.concatenate([short_at, long_at])
+    kinds = seeds_of(own, counts), seeds_of(own, counts, k, LONG_WINDOW if k == LONG else max(1, least - k + 1))
+    return tuple(np.concatenate(x) for x in zip(*kinds))
 
 
-def _numbered(h: np.ndarray) -> np.ndarray:
-    """How many times each hash came before, in order."""
+def _numbered(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How many times each hash came before in its text, in order. Equal hashes of one text have no other text's between them."""
     order = np.argsort(h, kind="stable")
-    own = h[order]
-    new = np.append(True, own[1:] != own[:-1])
-    start = np.flatnonzero(new)
+    own, of = h[order], text[order]
+    start = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])))
     out = np.empty(len(h), np.int64)
     out[order] = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
     return out
@@ -104,29 +136,21 @@ def _numbered(h: np.ndarray) -> np.ndarray:
 def _seed_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids, hashes, places, size = [], [], [], 0
-
-            def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places)], ["h", "doc", "pos"])
-
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = word_hashes(text or "")
-                if doc is None or len(own) < least:
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for start, stop in together(texts):
+                own, counts = words_of(texts[start:stop])
+                wanted = (counts >= least) & np.array([d is not None for d in docs[start:stop]])
+                own, counts = own[np.repeat(wanted, counts)], counts[wanted]
+                if not len(own):
                     continue
-                h, at = all_seeds(own, least)
+                ids = np.array([d or 0 for d in docs[start:stop]], np.int64)[wanted]
+                h, at, text = all_seeds(own, counts, least)
                 # A hash's j-th occurrence in a document is matched with the j-th elsewhere, and also with the first.
-                turn = _numbered(h)
+                turn = _numbered(h, text)
                 again = turn > 0
                 keys = np.concatenate([np.where(again, mix(h + turn.astype(np.uint64)), h), h[again]])
-                hashes.append(keys.view(np.int64))
-                places.append(np.concatenate([at, ~at[again]]).astype(np.int32))
-                ids.append(np.full(len(keys), doc, np.int64))
-                size += len(keys)
-                if size > 200_000:
-                    yield flush()
-                    ids, hashes, places, size = [], [], [], 0
-            if size:
-                yield flush()
+                places = np.concatenate([at, ~at[again]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[np.append(text, text[again])]), pa.array(places)], ["h", "doc", "pos"])
 
     return run
 
@@ -534,8 +558,11 @@ def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
-        words = [(word_hashes(t or "") >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for start, stop in together(texts):
+            own, counts = words_of(texts[start:stop])
+            words = np.split((own >> np.uint64(32)).astype("<u4"), np.cumsum(counts)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([w.tobytes() for w in words], pa.binary())], ["id", "words"])
 
 
 def _chained(taken: DataFrame, min_words: int) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from bidweave.llm import exact_dedup, ngram_join, substring_dedup
 from bidweave.llm.components import connected
-from bidweave.llm.ngram_join import shingles, word_hashes
+from bidweave.llm.ngram_join import shingles, together, word_hashes, words_of
 
 #: The words that operators see, as a pattern.
 WORD = re.compile(r"[^\W_]+")
@@ -110,6 +110,22 @@ def test_bands_reach_the_recall():
         assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= recall
 
 
+@pytest.mark.parametrize(("k", "window"), [(5, 10), (25, 26), (6, 1), (6, 45)])
+def test_seeds_of_many_texts_are_those_of_each(k, window):
+    draw = random.Random(k * window)
+    size = lambda i: draw.choice([0, 1, k, k + window - 2, k + window - 1, k + window, 300])
+    texts = [" ".join(draw.choices("aÉσжΣxyz" if i % 3 else "ab", k=size(i))) for i in range(60)]
+    texts += ["ΑΣ", "", "İstanbul ΟΔΟΣ", " x", "same " * 200]
+    own, counts = words_of(texts)
+    each = [word_hashes(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in each] and (own == np.concatenate(each)).all()
+    h, at, text = substring_dedup.seeds_of(own, counts, k, window)
+    for i, words in enumerate(each):
+        one_h, one_at = substring_dedup.seeds(words, k, window)
+        assert h[text == i].tolist() == one_h.tolist() and at[text == i].tolist() == one_at.tolist()
+    assert [x for lo, hi in together(texts, 100) for x in texts[lo:hi]] == texts
+
+
 def test_near_duplicates_edges(documents, edges):
     out = ngram_join.near_duplicates(documents(edges)).collect()
     assert len(out) == len(edges)
