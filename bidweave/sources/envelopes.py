@@ -78,30 +78,46 @@ def closing_items(df: DataFrame, payload: str, keep: list[str], as_of: Column, f
     return rows.select(*keep, "pos", F.coalesce(r["title"], F.lit("Active Notice")).alias("title"), days.alias("days"), F.when(urgent, "closing-soon").otherwise("active").alias("status"), F.when(urgent, 75).otherwise(45).alias("score"), F.when(urgent, "pursue").otherwise("monitor").alias("tag"))
 
 
-def award_items(df: DataFrame, payload: str, keep: list[str], as_of: Column, first: int = 40) -> DataFrame:
-    """Awards by the distance of their end: recompete items."""
+def _awards(df: DataFrame, payload: str, keep: list[str], first: int) -> DataFrame:
+    """The listed awards (keep, pos, r) with the text of their agencies and the moment of their end, each read once."""
     r = F.col("r")
-    rows = flat(df, payload, "$.results", AWARD, keep, first)
-    days = elapsed_days(permissive(r["End Date"]), as_of)
     agency = F.lower(F.concat_ws(" ", F.coalesce(r["Awarding Agency"], F.lit("")), F.coalesce(r["Awarding Sub Agency"], F.lit(""))))
-    return rows.select(
-        *keep,
-        "pos",
+    return flat(df, payload, "$.results", AWARD, keep, first).select("*", agency.alias("_agency"), permissive(r["End Date"]).alias("_end"))
+
+
+def _award_fields(as_of: Column) -> list[Column]:
+    r, days = F.col("r"), elapsed_days(F.col("_end"), as_of)
+    return [
         F.concat(F.lit("Award: "), F.coalesce(r["Award ID"], F.lit("Unknown")), F.lit(" — "), F.coalesce(r["Recipient Name"], F.lit("Unknown"))).alias("title"),
         days.alias("days"),
         F.when(days < 548, "recompete-window").otherwise("active").alias("status"),
-        scoring.recompete(agency, days, r["Award Amount"]).alias("score"),
+        scoring.recompete(F.col("_agency"), days, r["Award Amount"]).alias("score"),
         F.when(days < 548, "pursue").otherwise("monitor").alias("tag"),
-    )
+    ]
+
+
+def _incumbent_fields(as_of: Column) -> list[Column]:
+    r = F.col("r")
+    return [
+        F.concat(F.coalesce(r["Recipient Name"], F.lit("Unknown Recipient")), F.lit(" — "), F.coalesce(r["NAICS Description"], r["NAICS Code"], F.lit("Healthcare"))).alias("title"),
+        F.when(F.col("_end") < as_of, "expired").otherwise("active").alias("status"),
+        scoring.incumbent(F.col("_agency"), r["Award Amount"]).alias("score"),
+    ]
+
+
+def award_items(df: DataFrame, payload: str, keep: list[str], as_of: Column, first: int = 40) -> DataFrame:
+    """Awards by the distance of their end: recompete items."""
+    return _awards(df, payload, keep, first).select(*keep, "pos", *_award_fields(as_of))
 
 
 def incumbent_items(df: DataFrame, payload: str, keep: list[str], as_of: Column, first: int = 40) -> DataFrame:
     """Awards as incumbents: active until their end."""
-    r = F.col("r")
-    rows = flat(df, payload, "$.results", AWARD, keep, first)
-    agency = F.lower(F.concat_ws(" ", F.coalesce(r["Awarding Agency"], F.lit("")), F.coalesce(r["Awarding Sub Agency"], F.lit(""))))
-    ended = permissive(r["End Date"]) < as_of
-    return rows.select(*keep, "pos", F.concat(F.coalesce(r["Recipient Name"], F.lit("Unknown Recipient")), F.lit(" — "), F.coalesce(r["NAICS Description"], r["NAICS Code"], F.lit("Healthcare"))).alias("title"), F.when(ended, "expired").otherwise("active").alias("status"), scoring.incumbent(agency, r["Award Amount"]).alias("score"))
+    return _awards(df, payload, keep, first).select(*keep, "pos", *_incumbent_fields(as_of))
+
+
+def award_pairs(df: DataFrame, payload: str, keep: list[str], as_of: Column, first: int = 40) -> DataFrame:
+    """Each award as a recompete item and as an incumbent, two structs beside each other, from one reading of the payload."""
+    return _awards(df, payload, keep, first).select(*keep, "pos", F.struct(*_award_fields(as_of)).alias("award"), F.struct(*_incumbent_fields(as_of)).alias("incumbent"))
 
 
 def search_hits(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
