@@ -3,6 +3,8 @@
 No text meets a needle that it can't contain. A needle is looked for by its longest word, and that by the one of its grams that
 the fewest words of all texts have. So grams are made of the vocabulary only, words of texts are joined by equality
 with the words that hold a needle's word, and whole texts are compared for needles of several words alone.
+
+Up to ``FEW`` needles need no index: each text looks for them in order where it lies, and stops early; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,8 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidweave.functions.text import bound
+
 #: Characters of a gram; shorter words are grams of their own length.
 GRAM = 3
+#: Needles up to which texts look for each of them; more go through the index. Both find the same.
+FEW = 1_000
+#: Needles that are looked for at a time, until one is found.
+AT_ONCE = 16
 
 
 def fingerprint(text: str | Column) -> Column:
@@ -56,3 +64,25 @@ def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) ->
     # Only here do texts move: those that hold the longest word of some needle.
     distinct = rows.groupBy("fingerprint").agg(F.first("_text").alias("_text"))
     return whole.unionByName(several.join(distinct, "fingerprint").where(F.contains("_text", F.col(needle))).drop("_text"))
+
+
+def few(needles: DataFrame, needle: str, value: str) -> list[tuple] | None:
+    """(needle, inner word, value) of the needles in order of their values if there are ``FEW`` at most, else None. The inner word, if there is one, is a whole word of each text that contains the needle."""
+    words = F.split(F.col(needle), r"\s+")
+    inner = F.when(F.size(words) > 2, F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    found = needles.where(F.size(_words(F.col(needle))) > 0).select(F.col(needle).alias("needle"), inner.alias("inner"), F.col(value).alias("value")).limit(FEW + 1).collect()
+    return sorted(map(tuple, found), key=lambda r: tuple((v is not None, v) for v in r[2])) if len(found) <= FEW else None
+
+
+def first_held(text: str | Column, needles: list[tuple], kind: str) -> Column:
+    """The value, of SQL type ``kind``, of the first (needle, inner word, value) that the text contains; null without one."""
+    one = lambda n, inner, v: F.struct(F.lit(n).alias("needle"), F.lit(inner).cast("string").alias("inner"), F.lit(v).cast(kind).alias("value"))
+    chunks = [F.array(*[one(*n) for n in needles[i : i + AT_ONCE]]) for i in range(0, len(needles), AT_ONCE)]
+    text = F.col(text) if isinstance(text, str) else text
+
+    def first(t: Column) -> Column:
+        holds = lambda n: (n["inner"].isNull() | F.array_contains(t["words"], n["inner"])) & F.contains(t["text"], n["needle"])
+        return F.coalesce(*[F.get(F.filter(c, holds), F.lit(0))["value"] for c in chunks])
+
+    words = F.split(text, r"\s+") if any(inner for _, inner, _ in needles) else F.array().cast("array<string>")
+    return bound(F.struct(text.alias("text"), words.alias("words")), first) if chunks else F.lit(None).cast(kind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.operators.containment import containing, fingerprint
+from bidweave.operators.containment import containing, few, fingerprint, first_held
 from bidweave.operators.dedupe import best_by
 
 
@@ -24,9 +24,15 @@ def contained_place(rows: DataFrame, text: str, places: DataFrame) -> DataFrame:
     """The place (id, city, state, ordinal) that a lower-case text mentions, as ``place_id``.
 
     The first city wins at once; without one, the last state. Names are found through an index (``containment``), so neither
-    texts nor places are compared each with each, however many there are; equal texts are looked at once."""
-    named = lambda c, kind: places.select(F.lit(kind).alias("kind"), F.lower(c).alias("name"), F.struct("ordinal", "id").alias("place"))
-    hits = containing(rows, text, named("city", "city").unionByName(named("state", "state")), "name")
+    texts nor places are compared each with each, however many there are; equal texts are looked at once. Few names are looked for in order."""
+    # Of the places of one name only the one that would be chosen matters.
+    named = lambda kind, choose: places.groupBy(F.lower(kind).alias("name")).agg(choose(F.struct("ordinal", "id")).alias("place")).select(F.lit(kind).alias("kind"), "name", "place")
+    names = named("city", F.min).unionByName(named("state", F.max))
+    if (found := few(names.select("name", F.struct("kind", "place").alias("v")), "name", "v")) is not None:
+        of = lambda kind: [(n, inner, v["place"]["id"]) for n, inner, v in found if v["kind"] == kind]
+        id_type = places.schema["id"].dataType.simpleString()
+        return rows.withColumn("place_id", F.coalesce(first_held(text, of("city"), id_type), first_held(text, of("state")[::-1], id_type)))
+    hits = containing(rows, text, names, "name")
     of = lambda kind: F.when(F.col("kind") == kind, F.col("place"))
     chosen = hits.groupBy("fingerprint").agg(F.min(of("city")).alias("city"), F.max(of("state")).alias("state"))
     chosen = chosen.select(F.col("fingerprint").alias("_fingerprint"), F.coalesce("city.id", "state.id").alias("place_id"))
@@ -34,8 +40,12 @@ def contained_place(rows: DataFrame, text: str, places: DataFrame) -> DataFrame:
 
 
 def first_match(rows: DataFrame, host: str, portals: DataFrame, default: str) -> DataFrame:
-    """The first portal (ordinal, domain, name) whose domain a host contains, else the default. Hosts meet domains through an index."""
-    hits = containing(rows, host, portals.select("domain", F.struct("ordinal", "name").alias("place")), "domain")
+    """The first portal (ordinal, domain, name) whose domain a host contains, else the default. Hosts meet many domains through an index."""
+    domains = portals.groupBy("domain").agg(F.min(F.struct("ordinal", "name")).alias("place"))
+    if (found := few(domains, "domain", "place")) is not None:
+        named = [(domain, inner, place["name"]) for domain, inner, place in found]
+        return rows.withColumn("portal", F.coalesce(first_held(host, named, "string"), F.lit(default)))
+    hits = containing(rows, host, domains, "domain")
     chosen = hits.groupBy(F.col("fingerprint").alias("_fingerprint")).agg(F.min("place").alias("_place"))
     joined = rows.withColumn("_fingerprint", fingerprint(host)).join(chosen, "_fingerprint", "left")
     return joined.withColumn("portal", F.coalesce("_place.name", F.lit(default))).drop("_fingerprint", "_place")
