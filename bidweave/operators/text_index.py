@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.functions.text import bound
 from bidweave.operators.filters import any_ilike
 
 GRAM = 3
@@ -22,13 +21,8 @@ LOOKED_UP = 8
 
 
 def _trigrams(text: Column) -> Column:
-    """Distinct trigrams of a lower-case text, whose characters are split off once."""
-
-    def runs(chars: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(chars) - GRAM + 1), lambda i: F.array_join(F.slice(chars, i, GRAM), ""))
-        return F.when(F.size(chars) >= GRAM, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
-
-    return bound(F.filter(F.split(text, ""), lambda c: c != ""), runs)
+    """Distinct trigrams of a lower-case text: a look ahead from each character, none of which is half of a pair."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(\P{Cs}..))"), F.lit(1)))
 
 
 def shelf_of(gram: str, shelves: int) -> int:
