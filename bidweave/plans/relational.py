@@ -56,7 +56,7 @@ r AS (SELECT a.name, arg_min(b.name, struct_pack(n := -b.n, s := b.name)) AS ent
 SELECT doc_id, t.name, entity, n_similar FROM t LEFT JOIN r ON t.name = r.name""")
 def resolved_names(t: Tables):
     """The opening words of each document as its name, resolved to the commonest similar one."""
-    opening = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    opening = F.substring_index("text", " ", 4)
     return entities.resolved(t.documents.select("doc_id", F.trim(F.regexp_replace(F.lower(opening), "[^a-z ]", "")).alias("name")), "name")
 
 
