@@ -73,7 +73,11 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
 def in_range(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
     """Pairs with lo <= value < hi, by equality of buckets: a range has a row in every bucket that it meets.
 
-    ``width`` should be near the ranges' usual length; it changes the cost only."""
+    Points meet each distinct range once, and then the rows of that range by equality. That join is by sorting, so the pairs of a
+    range lie together, each of its points with the same rows in the same order: pairs grow with the product of both sides, and
+    such repeats take little room where they are written. ``width`` should be near the ranges' usual length; it changes the cost only."""
     bucket = lambda c: F.floor(c / width)
-    cut = ranges.where(F.col(hi) > F.col(lo)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi)))))
-    return points.withColumn("_bucket", bucket(F.col(value))).join(cut, "_bucket").where((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).drop("_bucket")
+    proper = ranges.where(F.col(hi) > F.col(lo))
+    cut = proper.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).distinct().withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
+    met = points.withColumn("_bucket", bucket(F.col(value))).join(cut, "_bucket").where((F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi"))).drop("_bucket")
+    return met.join(proper.hint("merge"), (F.col("_lo") == F.col(lo)) & (F.col("_hi") == F.col(hi))).drop("_lo", "_hi")
