@@ -70,19 +70,22 @@ def few(needles: DataFrame, needle: str, value: str) -> list[tuple] | None:
     """(needle, inner word, value) of the needles in order of their values if there are ``FEW`` at most, else None. The inner word, if there is one, is a whole word of each text that contains the needle."""
     words = F.split(F.col(needle), r"\s+")
     inner = F.when(F.size(words) > 2, F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    found = needles.where(F.size(_words(F.col(needle))) > 0).select(F.col(needle).alias("needle"), inner.alias("inner"), F.col(value).alias("value")).limit(FEW + 1).collect()
-    return sorted(map(tuple, found), key=lambda r: tuple((v is not None, v) for v in r[2])) if len(found) <= FEW else None
+    # Spark orders them, as it does for the index: null first, NaN last.
+    found = needles.where(F.size(_words(F.col(needle))) > 0).select(F.col(needle).alias("needle"), inner.alias("inner"), F.col(value).alias("value")).limit(FEW + 1).sort("value").collect()
+    return [tuple(r) for r in found] if len(found) <= FEW else None
 
 
 def first_held(text: str | Column, needles: list[tuple], kind: str) -> Column:
-    """The value, of SQL type ``kind``, of the first (needle, inner word, value) that the text contains; null without one."""
+    """The value, of SQL type ``kind``, of the first (needle, inner word, value) that the text contains; null without one, or if that value is null."""
     one = lambda n, inner, v: F.struct(F.lit(n).alias("needle"), F.lit(inner).cast("string").alias("inner"), F.lit(v).cast(kind).alias("value"))
     chunks = [F.array(*[one(*n) for n in needles[i : i + AT_ONCE]]) for i in range(0, len(needles), AT_ONCE)]
     text = F.col(text) if isinstance(text, str) else text
 
     def first(t: Column) -> Column:
         holds = lambda n: (n["inner"].isNull() | F.array_contains(t["words"], n["inner"])) & F.contains(t["text"], n["needle"])
-        return F.coalesce(*[F.get(F.filter(c, holds), F.lit(0))["value"] for c in chunks])
+        return F.coalesce(*[F.get(F.filter(c, holds), F.lit(0)) for c in chunks])["value"]
 
-    words = F.split(text, r"\s+") if any(inner for _, inner, _ in needles) else F.array().cast("array<string>")
+    # Of the words of a text only those that some needle asks for are kept, by one look at each.
+    asked = sorted({inner for _, inner, _ in needles if inner})
+    words = F.array_intersect(F.split(text, r"\s+"), F.array(*map(F.lit, asked))) if asked else F.array().cast("array<string>")
     return bound(F.struct(text.alias("text"), words.alias("words")), first) if chunks else F.lit(None).cast(kind)
