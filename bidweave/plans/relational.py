@@ -14,14 +14,15 @@ from bidweave.sources.registry import inline
 
 @query("DED01", "SELECT min(doc_id) AS doc_id, sha256(text) AS text_hash FROM documents WHERE coalesce(text, '') <> '' GROUP BY text")
 def dedup_first_seen(t: Tables):
-    keyed = t.documents.select("doc_id", F.sha2("text", 256).alias("text_hash")).where("text_hash is not null")
-    return dedupe.first_seen(keyed, "text_hash", ["doc_id"]).select("doc_id", "text_hash")
+    # The hash of an empty text is not blank, so texts are looked at before they are hashed; no hash is asked again, which would make it anew.
+    keyed = t.documents.where("text <> ''").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+    return dedupe.first_seen(keyed, "text_hash", ["doc_id"], blanks=True).select("doc_id", "text_hash")
 
 
 @query("DED02 SET01", "WITH u AS (SELECT s_nationkey AS key, 0 AS r, s_suppkey AS id FROM supplier UNION ALL SELECT c_nationkey, 1, c_custkey FROM customer UNION ALL SELECT n_nationkey, 2, n_nationkey FROM nation) SELECT key, CAST(arg_min(r, struct_pack(r := r, i := id)) AS INTEGER) AS source_rank, arg_min(id, struct_pack(r := r, i := id)) AS id FROM u GROUP BY key")
 def dedup_source_priority(t: Tables):
     sources = [t.supplier.select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("id")), t.customer.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("id")), t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_nationkey").cast("bigint").alias("id"))]
-    return dedupe.by_source(sources, "key", ["id"]).select("key", "source_rank", "id")
+    return dedupe.by_source(sources, "key", ["id"], blanks=True).select("key", "source_rank", "id")
 
 
 @query("DED04", "WITH f AS (SELECT user_id, event_type, min(event_id) AS e FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY e) AS types FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e) AS rn FROM f) WHERE rn <= 20 GROUP BY 1")
